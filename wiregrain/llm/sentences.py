@@ -30,17 +30,19 @@ from ..sources.tables import spread
 
 
 class Rule(NamedTuple):
-    """Break (or not) where ``before`` ends and ``after`` begins."""
+    """Break (or not) where ``before`` ends and ``after`` begins. ``reach``: characters that ``before`` may span."""
 
     breaks: bool
     before: str
     after: str
+    reach: int = 16
 
 
 _UP = r"[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽА-ЯЁІЇЄҐΑ-Ω]"
 _LOW = r"[a-zß-öø-ÿāăąćčďđēėęěğģīįıķĺļľłńņňōőœŕřśşšţťūůűųźżžа-яёіїєґα-ω]"
 _CLOSE = "[\"'”’»›)\\]}」』）】》〉｣]"
 _GAP = r"\s+"
+_SPEECH = 160  # characters of a quotation that a rule looks back over
 
 # Abbreviations by language, without the final full stop.
 _NAMED = {  # stand before a name or number: never the end of a sentence
@@ -110,8 +112,8 @@ TABLES: dict[str, list[Rule]] = {
         Rule(False, rf"{_CLOSE}", r"\s*[,;:]"),
         Rule(False, rf"{_CLOSE}", r"\s*[–—-]\s"),
         Rule(True, rf"[.!?…]{_CLOSE}", rf"{_GAP}(?:{_words(_PROGRAMS)})\s"),
-        Rule(False, rf":\s*[\"“„«][^\"”“»]*[.!?…]\s?{_CLOSE}", rf"{_GAP}(?:{_words(_JOINS)})\s"),
-        Rule(True, rf":\s*[\"“„«][^\"”“»]*[.!?…]\s?{_CLOSE}", _GAP),
+        Rule(False, rf":\s*[\"“„«][^\"”“»]*[.!?…]\s?{_CLOSE}", rf"{_GAP}(?:{_words(_JOINS)})\s", _SPEECH),
+        Rule(True, rf":\s*[\"“„«][^\"”“»]*[.!?…]\s?{_CLOSE}", _GAP, _SPEECH),
         Rule(False, rf"{_CLOSE}", rf"{_GAP}{_LOW}"),
     ],
     "latin": [
@@ -138,8 +140,8 @@ TABLES: dict[str, list[Rule]] = {
         Rule(False, r"[。！？!?．][」』）”]+", r"(?:と|って|という|など|の|は|が|を|に|も|で|だ|や|から|まで|より|へ)"),
         Rule(False, r"[。！？!?．][”’」』]+", r"[，、；：,;—]"),
         # a quotation after a colon ends with its sentence; one within running text does not end it
-        Rule(True, r"[：:]\s*[“「『\"][^“”「」『』]*[。！？!?．…]+[”」』\"]+", r"\s*\S"),
-        Rule(False, r"[^\s。！？!?．：:”」』“「『][“「『][^“”「」『』]*[。！？!?．…]+[”」』]+", r"\S"),
+        Rule(True, r"[：:]\s*[“「『\"][^“”「」『』]*[。！？!?．…]+[”」』\"]+", r"\s*\S", _SPEECH),
+        Rule(False, r"[^\s。！？!?．：:”」』“「『][“「『][^“”「」『』]*[。！？!?．…]+[”」』]+", r"\S", _SPEECH),
         Rule(False, r"[”’」』]", r"(?:他|她|我|我们|他们|工程师|同事)?(?:说|问|写|喊|答|道)"),
         Rule(True, rf"[。！？．｡!?]{_CLOSE}*", r"\s*\S"),
         Rule(True, rf"[.…]{_CLOSE}*", r"\s+\S"),
@@ -181,18 +183,20 @@ _BEFORE, _AFTER = 160, 40
 
 
 @lru_cache(maxsize=None)
-def _compiled(name: str) -> tuple[tuple[bool, re.Pattern[str], re.Pattern[str]], ...]:
-    return tuple((r.breaks, re.compile(f"(?:{r.before})\\Z"), re.compile(r.after)) for r in TABLES[name])
+def _compiled(tables: tuple[str, ...]) -> tuple[tuple[bool, re.Pattern[str], re.Pattern[str], int], ...]:
+    return tuple((r.breaks, re.compile(f"(?:{r.before})\\Z"), re.compile(r.after), r.reach) for name in tables for r in TABLES[name])
 
 
 def is_break(before: str, after: str) -> bool:
     """What the first fitting rule of the cascade says; no rule, no break."""
+    near = before[-16:]
+    tail = near[-8:]
+    n = len(before)
     for script, tables in CASCADE:
-        if script.search(before[-8:]):
-            for name in tables:
-                for breaks, left, right in _compiled(name):
-                    if right.match(after) and left.search(before):
-                        return breaks
+        if script.search(tail):
+            for breaks, left, right, reach in _compiled(tables):
+                if right.match(after) and (left.search(near) if reach == 16 else left.search(before, max(0, n - reach))):
+                    return breaks
             return False
     return False
 
