@@ -208,7 +208,7 @@ def learn(fields: DataFrame, grammars: dict[str, Grammar], max_join: int = 4, su
         floor = F.when(F.col("name") == name, F.greatest(F.lit(float(support)), F.lit(n * share))).otherwise(floor)
     proposed = (
         counts.where((F.col("part") != "") & (F.col("n") >= floor))
-        .join(singles, ["name", "part"])
+        .join(singles.hint("merge"), ["name", "part"])
         .groupBy("name", "value")
         .agg(F.max("n").alias("n"), F.max("n_part").alias("most"), F.collect_list(F.struct("part", "n_part")).alias("parts"))
         .where(F.col("n") >= F.col("most") * bound)
