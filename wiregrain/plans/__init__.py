@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from .problems import ORACLES as _PROBLEM_SQL
-from .problems import QUERIES as _PROBLEM_QUERIES
+from . import problems, reference
+
+_MODULES = (problems, reference)
 
 
 def all_queries() -> dict:
-    return dict(_PROBLEM_QUERIES)
+    return {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 
 
 def all_sql() -> dict[str, str]:
-    return dict(_PROBLEM_SQL)
+    return {k: q for m in _MODULES for k, q in m.ORACLES.items()}

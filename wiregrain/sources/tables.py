@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -100,3 +101,23 @@ def any_map(payload: dict[str, Column]) -> bool:
 def columns_or_null(df: DataFrame, names: Sequence[str]) -> list[Column]:
     """The named columns, null where ``df`` lacks one."""
     return [F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names]
+
+
+def places(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "place") -> DataFrame:
+    """``df`` with the 0-based place of each row within its ``keys``, by ``order``.
+
+    Rows are cut into ranges of (keys, order); a range counts for itself and
+    starts where the ranges before it end. A key that holds most rows (or all,
+    with no keys) is spread over many tasks, unlike with a window over it.
+    ``order`` must tell all rows of a key apart.
+    """
+    cols = [F.col(c) for c in (*keys, *order)]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stage(df.repartitionByRange(parts, *cols).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*[F.col(k) for k in keys], "_part").orderBy(*[F.col(c) for c in order])
+    ranked = cut.withColumn("_at", F.row_number().over(within) - 1)
+    join = [ranked["_part"] == starts["_part"], *[ranked[k].eqNullSafe(starts[k]) for k in keys]]
+    return ranked.join(starts, join, "inner").select(*[ranked[c] for c in df.columns], (ranked["_at"] + starts["_start"]).cast("bigint").alias(name))
