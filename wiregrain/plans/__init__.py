@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems, reference
+from . import bodies, problems, reference
 
-_MODULES = (problems, reference)
+_MODULES = (problems, reference, bodies)
 
 
 def all_queries() -> dict:
