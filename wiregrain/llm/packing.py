@@ -80,6 +80,8 @@ def pieces(items: DataFrame, kinds: list[tuple[str, int, int, int]]) -> DataFram
     segments and loss-bearing tokens. A piece bears loss in proportion to its
     share of the tokens (rounded up), at most the limit.
     """
+    if not kinds:
+        return items.sparkSession.createDataFrame([], _ITEM)
     table = F.array(*[F.struct(F.lit(k).alias("container_kind"), *[F.lit(v).cast("bigint").alias(c) for c, v in zip(("most_tokens", "most_segments", "most_loss"), limits, strict=True)]) for k, *limits in kinds])
     each = items.select("doc_id", "tokens", "loss", F.explode(table).alias("k")).select("doc_id", "tokens", "loss", "k.*")
     # as many tokens as keep both limits
@@ -109,25 +111,34 @@ def _pack_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.drop(columns=["shard"])
 
 
-def _dealt(rows: DataFrame, salt: str, shard_items: int) -> DataFrame:
-    """``rows`` with a shard: as many per kind as keep shards near ``shard_items``."""
+def _dealt(rows: DataFrame, salt: str, shard_items: int) -> tuple[DataFrame, int]:
+    """``rows`` with a shard, as many per kind as keep shards near ``shard_items``; and the most shards of a kind."""
     sizes = {r["container_kind"]: r["n"] for r in rows.groupBy("container_kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {k: max(1, math.ceil(n / shard_items)) for k, n in sizes.items()}
     shards = F.lit(1)
-    for kind, n in sizes.items():
-        shards = F.when(F.col("container_kind") == kind, F.lit(max(1, math.ceil(n / shard_items)))).otherwise(shards)
-    return rows.withColumn("shard", F.concat(F.lit(salt), F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(salt)), shards).cast("string")))
+    for kind, n in counts.items():
+        shards = F.when(F.col("container_kind") == kind, F.lit(n)).otherwise(shards)
+    dealt = rows.withColumn("shard", F.concat(F.lit(salt), F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(salt)), shards).cast("string")))
+    return dealt, max(counts.values(), default=1)
 
 
-def pack(cut: DataFrame, shard_items: int = SHARD_ITEMS, well_filled: float = 0.98) -> DataFrame:
-    """Containers of the pieces ``cut``: container_kind, container_id, doc_id, piece_no, n_pieces, tokens, loss."""
+def pack(cut: DataFrame, shard_items: int = SHARD_ITEMS, well_filled: float = 0.98, rounds: int = 4) -> DataFrame:
+    """Containers of the pieces ``cut``: container_kind, container_id, doc_id, piece_no, n_pieces, tokens, loss.
+
+    What lies in containers filled below ``well_filled`` is dealt and packed
+    again, until one shard holds it all or ``rounds`` are over.
+    """
     whole = cut.where("tokens = most_tokens").select("*", F.concat_ws("-", F.lit("f"), "doc_id", "piece_no").alias("bin"), F.lit(1.0).alias("fill"))
-    rest = cut.where("tokens < most_tokens")
-    schema = _PACKED
-    first = stage(_dealt(rest, "a", shard_items).groupBy("container_kind", "shard").applyInPandas(_pack_shard, schema), "packed")
-    loose = first.where(F.col("fill") < well_filled).drop("bin", "fill")
-    second = _dealt(loose, "b", shard_items).groupBy("container_kind", "shard").applyInPandas(_pack_shard, schema)
-    full = first.where(F.col("fill") >= well_filled)
-    return whole.unionByName(full).unionByName(second).select("container_kind", F.col("bin").alias("container_id"), "doc_id", "piece_no", "n_pieces", "tokens", "loss")
+    done, left = whole, cut.where("tokens < most_tokens")
+    for salt in "abcdefgh"[:rounds]:
+        dealt, shards = _dealt(left, salt, shard_items)
+        packed = stage(dealt.groupBy("container_kind", "shard").applyInPandas(_pack_shard, _PACKED), "packed")
+        if shards == 1 or salt == "abcdefgh"[rounds - 1]:
+            done = done.unionByName(packed)
+            break
+        done = done.unionByName(packed.where(F.col("fill") >= well_filled))
+        left = packed.where(F.col("fill") < well_filled).drop("bin", "fill")
+    return done.select("container_kind", F.col("bin").alias("container_id"), "doc_id", "piece_no", "n_pieces", "tokens", "loss")
 
 
 def _kinds(container_kinds: DataFrame, segments: int | None = None, loss_share: float = 1.0, most: int = 1000) -> list[tuple[str, int, int, int]]:
