@@ -140,23 +140,32 @@ def value_hash(value: Any) -> int:
     try:
         text = canonical(value)
     except RecursionError:
-        text = json.dumps(str(iter_leaves(value)))
+        text = _flat(value)
     h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def iter_leaves(value: Any) -> list[tuple[str, Any]]:
-    """Pointer and scalar of every leaf, without recursion."""
-    out, stack = [], [("", value)]
+def _flat(value: Any) -> str:
+    """Like ``canonical``, without recursion."""
+    out: list[str] = []
+    stack: list[tuple[bool, Any]] = [(False, value)]
     while stack:
-        at, v = stack.pop()
-        if type(v) is dict:
-            stack.extend((f"{at}/{pointer_token(k)}", x) for k, x in sorted(v.items(), reverse=True))
+        literal, v = stack.pop()
+        if literal:
+            out.append(v)
+        elif type(v) is dict:
+            out.append("{")
+            stack.append((True, "}"))
+            for k in sorted(v, reverse=True):
+                stack += [(True, ","), (False, v[k]), (True, json.dumps(k) + ":")]
         elif type(v) is list:
-            stack.extend((f"{at}/{i}", x) for i, x in reversed(list(enumerate(v))))
+            out.append("[")
+            stack.append((True, "]"))
+            for x in reversed(v):
+                stack += [(True, ","), (False, x)]
         else:
-            out.append((at, v))
-    return out
+            out.append(canonical(v))
+    return "".join(out)
 
 
 def walk(root: Any) -> Iterator[tuple[str, str, str, tuple[int, ...], str, Any]]:

@@ -217,10 +217,11 @@ def learn(fields: DataFrame, grammars: dict[str, Grammar], max_join: int = 4, su
     models = {n: Model(total=max(totals.get(n, 1.0), 1.0)) for n in open_names}
     for row in proposed:
         m = models[row["name"]]
-        m.joined[row["value"]] = row["n"] / 2
-        m.keep = 0.05
+        # the start: what holds together is one value, its chunks stand alone only where they do so elsewhere
+        m.joined[row["value"]] = float(row["n"])
+        m.keep = min(0.5, m.keep + row["n"] / m.total)
         for part in row["parts"]:
-            m.single[part["part"]] = part["n_part"] / 2
+            m.single[part["part"]] = part["n_part"] - row["n"] + 0.5
     if not proposed:
         return models
     concerned = distinct.where(F.col("name").isin([r["name"] for r in proposed]))

@@ -154,8 +154,8 @@ def fetch(client: CaptureClient, session: str, keys: list[str], workers: int) ->
 
 
 class _Slice(InputPartition):
-    def __init__(self, keys: list[str]):
-        self.keys = keys
+    def __init__(self, session: str, keys: list[str]):
+        self.session, self.keys = session, keys
 
 
 class _Reader(DataSourceReader):
@@ -165,17 +165,16 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if self.options.get("what") == "sessions":
-            return [_Slice([])]
+            return [_Slice("", [])]
         session = self.client.session(self.options.get("session", "active"))
-        self.options["session"] = session["id"]
         keys, size = session.get("entryIds") or [], int(self.options.get("slice", 1000))
-        return [_Slice(keys[i : i + size]) for i in range(0, len(keys), size)] or [_Slice([])]
+        return [_Slice(session["id"], keys[i : i + size]) for i in range(0, len(keys), size)] or [_Slice(session["id"], [])]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
         if self.options.get("what") == "sessions":
             yield from ((s["id"], s.get("name"), s.get("entryIds")) for s in self.client.sessions())
             return
-        yield from fetch(self.client, self.options["session"], partition.keys, int(self.options.get("fetch_workers", 16)))
+        yield from fetch(self.client, partition.session, partition.keys, int(self.options.get("fetch_workers", 16)))
 
 
 def new_keys(keys: list[str], known: int, tail: str, tail_limit: int) -> tuple[list[str], bool]:
