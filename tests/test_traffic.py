@@ -323,6 +323,26 @@ def test_registry(engine):
         engine.call("hosts")
 
 
+def test_cluster_store(spark, entries_of, tmp_path):
+    from wiregrain.sources.store import ClusterStore
+
+    df = entries_of([make_entry(f"e{i}", ts=i, url=f"https://h.x/v{i % 2}/u/{i}") for i in range(6)])
+    store = ClusterStore(spark, f"file://{tmp_path}")
+    page = catalog.endpoint_page(catalog.endpoint_clusters(df), limit=1)
+    store.put("default", page, catalog.cluster_members(df))
+    (kept,) = store.scope("default").collect()
+    assert [r["entry_id"] for r in store.members("default", kept["cluster_id"]).collect()] == ["e0", "e2", "e4"]
+
+
+def test_hints():
+    from wiregrain import hints
+
+    assert "offset=10" in hints.search(30, 10) and hints.search(5, 5) == "" and "No entries" in hints.search(0, 0)
+    assert hints.endpoints(3, 2, {"api": 2, "page": 1}, 1).startswith("3 endpoints: 2 api, 1 page.")
+    assert "'.'" in hints.query(0, 3, "jq") and "Partial" in hints.query(2, 3, errors=1)
+    assert hints.graphql(["A"], "B") == "Operations with errors: A; inspect their section 'errors'. Use inspect_graphql_operation('B') for schema and fields."
+
+
 def test_config(monkeypatch):
     monkeypatch.setenv("MAX_SEARCH_RESULTS", "7")
     monkeypatch.setenv("INDEX_BODY", "true")

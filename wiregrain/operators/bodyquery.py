@@ -12,10 +12,10 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bodies, content, headers
+from ..functions import bodies, content, headers, text
 from ..functions.jsonkit import clean
 from ..sources.tables import latest_entries, spread
 
@@ -99,6 +99,16 @@ def values_of(found: DataFrame, deduplicate: bool = False) -> DataFrame:
     return rows.groupBy("value").agg(F.min(F.struct("entry_id", "target", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).select("first.entry_id", "first.target", "first.pos", "value", "n")
 
 
+def label_counts(found: DataFrame) -> DataFrame:
+    """Values per body; bodies that gave none are left out."""
+    return found.where("status = 'value'").groupBy("entry_id", "target").agg(F.count(F.lit(1)).alias("n_values"))
+
+
+def query_errors(found: DataFrame) -> DataFrame:
+    """Distinct errors with the number of bodies that have them."""
+    return found.where("status = 'error'").groupBy(F.col("value").alias("error")).agg(F.countDistinct("entry_id", "target").alias("n_bodies"))
+
+
 def query_summary(found: DataFrame) -> DataFrame:
     """Bodies per status, and values in all."""
     return found.groupBy("status").agg(F.countDistinct("entry_id", "target").alias("n_bodies"), F.count("pos").alias("n_values"))
@@ -118,8 +128,8 @@ def json_path_values(entries: DataFrame, expression: str, target: str = "respons
     if path is None:
         raise ValueError("not a plain path")
     found = decoded_bodies(entries, target).where(F.contains(F.lower("content_type"), F.lit("json")) & F.col("body").isNotNull())
-    text = F.when(F.is_valid_utf8(F.col("body").cast("string")), F.col("body").cast("string"))
-    at = F.try_variant_get(F.try_parse_json(text), path, "variant")
+    body = F.when(F.is_valid_utf8(F.col("body").cast("string")), F.col("body").cast("string"))
+    at = F.try_variant_get(F.try_parse_json(body), path, "variant")
     scalar = ~F.schema_of_variant(at).rlike("^(OBJECT|ARRAY|VOID)")
     return found.select("entry_id", F.when(scalar, F.try_variant_get(at, "$", "string")).alias("value")).where("value is not null")
 
@@ -129,21 +139,15 @@ def regex_values(entries: DataFrame, pattern: str, group: int = 0, target: str =
     re.compile(pattern)
     found = decoded_bodies(entries, target).where("body is not null")
     found = found.where(~content.is_binary(F.col("content_type"), F.col("body")))
-    text = F.make_valid_utf8(F.col("body").cast("string"))
-    return found.select("entry_id", F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).alias("pos", "value"))
-
-
-def query_keys_of(url: Column) -> Column:
-    from ..functions.text import query_pairs
-
-    return query_pairs(url)
+    body = F.make_valid_utf8(F.col("body").cast("string"))
+    return found.select("entry_id", F.posexplode(F.regexp_extract_all(body, F.lit(pattern), F.lit(group))).alias("pos", "value"))
 
 
 def form_keys(entries: DataFrame) -> DataFrame:
     """Keys of query strings: in how many URLs with a query they occur, and how often."""
     kept = latest_entries(entries, {"url": F.col("url")}).where(F.contains("url", F.lit("?")))
     total = kept.agg(F.count(F.lit(1)).alias("n_all"))
-    pairs = kept.select("entry_id", F.explode(query_keys_of(F.col("url"))).alias("p")).select("entry_id", "p.key")
+    pairs = kept.select("entry_id", F.explode(text.query_pairs(F.col("url"))).alias("p")).select("entry_id", "p.key")
     counted = pairs.groupBy("key").agg(F.countDistinct("entry_id").alias("n_urls"), F.count(F.lit(1)).alias("n_pairs"))
     return counted.crossJoin(F.broadcast(total)).select("key", "n_urls", "n_pairs", F.round(F.col("n_urls") / F.col("n_all"), 6).alias("frequency"))
 

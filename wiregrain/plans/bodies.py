@@ -37,6 +37,8 @@ QUERIES: dict[str, Query] = {
     "regex_extract": on(lambda e: bodyquery.regex_values(e, r'"sku":"([A-Z]+)-', 1)),
     "regex_python": _query(r'"sku":"([A-Z]+)-', "regex"),
     "query_body_auto": on(lambda e: bodyquery.query_summary(bodyquery.query_bodies(e, ".id", target="both"))),
+    "query_body_labels": on(lambda e: bodyquery.label_counts(bodyquery.query_bodies(e, ".id, .currency", "jq"))),
+    "query_body_errors": on(lambda e: bodyquery.query_errors(bodyquery.query_bodies(e, ".id", "jq"))),
     "form_keys": on(bodyquery.form_keys),
     "display_bodies": on(lambda e: bodyquery.compact_bodies(e).where("text <> ''").select("entry_id", F.sha2("text", 256).alias("text_hash"))),
     "json_schema_infer": on(infer.json_schemas),
@@ -88,6 +90,7 @@ ORACLES: dict[str, str] = {
     "jq_path": sql(f"select entry_id, json_extract_string(resp_text, '$.currency') as value from m where {_VALID} and coalesce(json_type(resp_text, '$.currency'), 'NULL') not in ('NULL', 'OBJECT', 'ARRAY')"),
     "jq_values": sql(f"select entry_id, 0 as pos, cast(json_extract(resp_text, '$.id') as varchar) as value from m where {_VALID} and coalesce(json_type(resp_text, '$.id'), 'NULL') <> 'NULL'"),
     "jq_dedup": sql(f"""select value, count(*) as n from (select unnest([cast(json_extract(resp_text, '$.currency') as varchar), cast(json_extract(resp_text, '$.locale') as varchar)]) as value from m where {_VALID}) where value is not null and value <> 'null' group by value"""),
+    "query_body_labels": sql(f"select entry_id, 'response' as target, cast(coalesce(json_type(resp_text, '$.id'), 'NULL') <> 'NULL' as integer) + cast(coalesce(json_type(resp_text, '$.currency'), 'NULL') <> 'NULL' as integer) as n_values from m where {_VALID} and (coalesce(json_type(resp_text, '$.id'), 'NULL') <> 'NULL' or coalesce(json_type(resp_text, '$.currency'), 'NULL') <> 'NULL')"),
     "css_text": sql(f"select entry_id, i - 1 as pos, concat('\"', trim(v), '\"') as value from (select entry_id, unnest(regexp_extract_all(resp_text, '<h1 class=\"title\">([^<]*)</h1>', 1)) as v, generate_subscripts(regexp_extract_all(resp_text, '<h1 class=\"title\">([^<]*)</h1>', 1), 1) as i from m where {_TEXTUAL} and resp_text is not null)"),
     "xpath_text": sql(f"select entry_id, i - 1 as pos, concat('\"', trim(v), '\"') as value from (select entry_id, unnest(regexp_extract_all(resp_text, '<h1[^>]*>([^<]*)</h1>', 1)) as v, generate_subscripts(regexp_extract_all(resp_text, '<h1[^>]*>([^<]*)</h1>', 1), 1) as i from m where {_PAGE} and resp_text is not null)"),
     "regex_extract": sql(f"""select entry_id, i - 1 as pos, v as value from (select entry_id, unnest(regexp_extract_all(resp_text, '"sku":"([A-Z]+)-', 1)) as v, generate_subscripts(regexp_extract_all(resp_text, '"sku":"([A-Z]+)-', 1), 1) as i from m where {_TEXTUAL} and resp_text is not null)"""),
