@@ -74,25 +74,26 @@ def _words(text: str, split: str = " ") -> str:
     return "|".join(re.escape(w).replace(r"\ ", r"\s+").replace("\\.", r"\.\s?") for w in sorted(text.split(split), key=len, reverse=True))
 
 
-def _inner(words: str) -> list[tuple[str, str]]:
-    """What stands before and after each inner full stop of abbreviations of several parts."""
-    out = set()
+def _inner(words: str) -> tuple[str, str]:
+    """What may stand before and after an inner full stop of abbreviations of several parts."""
+    left, right = set(), set()
     for w in words.split():
         parts = w.split(".")
-        for i in range(1, len(parts)):
-            out.add((r"\.\s?".join(map(re.escape, parts[:i])), r"\s?" + r"\.\s?".join(map(re.escape, parts[i:])) + r"\."))
-    return sorted(out)
+        left.update(parts[:-1])
+        right.update(parts[1:])
+    return tuple("|".join(sorted(map(re.escape, x), key=len, reverse=True)) for x in (left, right))
 
 
 def _all(table: dict[str, str]) -> str:
     return "|".join(_words(v) for v in table.values())
 
 
+_PARTS = _inner(" ".join([_PARTED, *_LOOSE.values()]))
 _NAMED_RULES = [
     Rule(False, rf"(?<!\w)(?:{_all({k: v for k, v in _NAMED.items() if k not in ('hi', 'ar')})})\.", rf"{_GAP}\S|[^\s]"),
     Rule(False, rf"(?<!\w)(?:{_all(_NUMBERED)})\.", rf"{_GAP}[0-9#]"),
     Rule(False, rf"(?<!\w)(?:{_words(_PARTED)})\.", r"\s*\S"),
-    *[Rule(False, rf"(?<!\w){left}\.", right) for left, right in _inner(" ".join([_PARTED, *_LOOSE.values()]) )],
+    Rule(False, rf"(?<!\w)(?:{_PARTS[0]})\.", rf"\s?(?:{_PARTS[1]})\."),
 ]
 
 #: rule tables by name
@@ -173,7 +174,8 @@ CASCADE: list[tuple[re.Pattern[str], tuple[str, ...]]] = [
     (re.compile(r""), ("token", "quotation", "latin")),
 ]
 
-_CANDIDATE = re.compile(rf"(?:[.!?…。！？．｡।॥؟۔]|\s(?=[!?]))+(?:\s(?=»)|{_CLOSE})*|(?<=[฀-๿])(?=\s+[฀-๿])")
+# a mark inside a token of ASCII letters and digits is none: no table breaks there
+_CANDIDATE = re.compile(rf"(?:[…。！？．｡।॥؟۔]|[.!?](?:(?<![A-Za-z0-9].)|(?![a-z0-9_/\-]))|\s(?=[!?]))+(?:\s(?=»)|{_CLOSE})*|(?<=[฀-๿])(?=\s+[฀-๿])")
 _QUOTES = re.compile(r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|\"[^\"]*\"|「[^「」]*」|『[^『』]*』|‘[^‘’]*’(?!\w)")
 _BREAK_LINE = re.compile(r"\r\n|[\n\r  \x85\x0b\x0c]")
 _BULLET = re.compile(r"[ \t]*(?:[-*+•‣◦▪·]|[–—](?=\s+\S+\s*\S*\Z))[ \t]+\S")
@@ -182,9 +184,22 @@ _HEADING = re.compile(r"[ \t]*#{1,6}[ \t]+\S")
 _BEFORE, _AFTER = 160, 40
 
 
+_Compiled = tuple[tuple[bool, re.Pattern[str], re.Pattern[str], int], ...]
+
+
+def _begins(after: str) -> tuple[bool, bool]:
+    """Whether a pattern can match text that begins with white space, and text that does not."""
+    outer = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]|\((?:[^()\\]|\\.)*\)", "", after)
+    if "|" in outer or after.startswith((r"\s*", r"\s?")) or not after:
+        return True, True
+    spaced = after.startswith(r"\s")
+    return spaced, not spaced
+
+
 @lru_cache(maxsize=None)
-def _compiled(tables: tuple[str, ...]) -> tuple[tuple[bool, re.Pattern[str], re.Pattern[str], int], ...]:
-    return tuple((r.breaks, re.compile(f"(?:{r.before})\\Z"), re.compile(r.after), r.reach) for name in tables for r in TABLES[name])
+def _compiled(tables: tuple[str, ...], spaced: bool) -> _Compiled:
+    rules = [r for name in tables for r in TABLES[name] if _begins(r.after)[0 if spaced else 1]]
+    return tuple((r.breaks, re.compile(f"(?:{r.before})\\Z"), re.compile(r.after), r.reach) for r in rules)
 
 
 def is_break(before: str, after: str) -> bool:
@@ -192,12 +207,12 @@ def is_break(before: str, after: str) -> bool:
     near = before[-16:]
     tail = near[-8:]
     n = len(before)
-    for script, tables in CASCADE:
-        if script.search(tail):
-            for breaks, left, right, reach in _compiled(tables):
-                if right.match(after) and (left.search(near) if reach == 16 else left.search(before, max(0, n - reach))):
-                    return breaks
-            return False
+    spaced = after[0].isspace()
+    # the last entry of the cascade is for all scripts, and the only one for ASCII
+    tables = CASCADE[-1][1] if tail.isascii() else next(t for script, t in CASCADE if script.search(tail))
+    for breaks, left, right, reach in _compiled(tables, spaced):
+        if right.match(after) and (left.search(near) if reach == 16 else left.search(before, max(0, n - reach))):
+            return breaks
     return False
 
 
