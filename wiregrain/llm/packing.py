@@ -118,8 +118,11 @@ def _dealt(rows: DataFrame, salt: str, shard_items: int) -> tuple[DataFrame, int
     shards = F.lit(1)
     for kind, n in counts.items():
         shards = F.when(F.col("container_kind") == kind, F.lit(n)).otherwise(shards)
+    spark = rows.sparkSession
+    # a shard is much work for few bytes, so tasks are counted here and not merged by size
+    tasks = min(max(1, sum(counts.values())), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
     dealt = rows.withColumn("shard", F.concat(F.lit(salt), F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(salt)), shards).cast("string")))
-    return dealt, max(counts.values(), default=1)
+    return dealt.repartition(tasks, "container_kind", "shard"), max(counts.values(), default=1)
 
 
 def pack(cut: DataFrame, shard_items: int = SHARD_ITEMS, well_filled: float = 0.98, rounds: int = 4) -> DataFrame:
