@@ -106,7 +106,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while stack:
                 path, v, depth = stack.pop()
                 t = type_of(v)
-                text = "" if t in ("object", "array", "null") and path == "" else None if t == "null" else jsonkit.canonical(v)
+                # containers only need to be told apart
+                text = None if t == "null" else "" if path == "" else f"#{jsonkit.value_hash(v)}" if t in ("object", "array") else jsonkit.canonical(v)
                 key = (cluster, path, t, text)
                 if key in held:
                     held[key][1] += 1

@@ -55,11 +55,21 @@ def spread(df: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or getattr(sc, "_wiregrain_shared", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="wiregrain-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        folder = sc._wiregrain_shared = "file://" + tempfile.mkdtemp(prefix="wiregrain-shared-")
+    return folder.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/wiregrain/{label}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -68,10 +78,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     Used where a plan reads an expensive result more than once: the table
     survives the loss of executors and cuts the lineage.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/wiregrain/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_path(df.sparkSession, label)}/table"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def latest_entries(entries: DataFrame, payload: dict[str, Column]) -> DataFrame:

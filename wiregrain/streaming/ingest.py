@@ -7,14 +7,12 @@ streaming state and written per micro-batch, so nothing is held on the driver.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import urls
-from ..sources.tables import shared_folder
+from ..sources.tables import scratch_path
 
 KEY = ("host", "method", "path_template")
 
@@ -69,7 +67,7 @@ def current_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def replay_counts(spark: SparkSession, path: str) -> DataFrame:
     """Endpoint counts of a folder (or file) of entries, streamed to its end."""
-    folder = f"{shared_folder(spark).rstrip('/')}/wiregrain/stream-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "stream")
     schema = spark.read.parquet(path).schema
     query = start_counts(endpoint_counts(first_versions(entry_stream(spark, path, schema))), folder)
     query.awaitTermination()
