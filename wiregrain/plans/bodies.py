@@ -90,11 +90,11 @@ ORACLES: dict[str, str] = {
     "jq_path": sql(f"select entry_id, json_extract_string(resp_text, '$.currency') as value from m where {_VALID} and coalesce(json_type(resp_text, '$.currency'), 'NULL') not in ('NULL', 'OBJECT', 'ARRAY')"),
     "jq_values": sql(f"select entry_id, 0 as pos, cast(json_extract(resp_text, '$.id') as varchar) as value from m where {_VALID} and coalesce(json_type(resp_text, '$.id'), 'NULL') <> 'NULL'"),
     "jq_dedup": sql(f"""select value, count(*) as n from (select unnest([cast(json_extract(resp_text, '$.currency') as varchar), cast(json_extract(resp_text, '$.locale') as varchar)]) as value from m where {_VALID}) where value is not null and value <> 'null' group by value"""),
-    "query_body_labels": sql(f"select entry_id, 'response' as target, cast(coalesce(json_type(resp_text, '$.id'), 'NULL') <> 'NULL' as integer) + cast(coalesce(json_type(resp_text, '$.currency'), 'NULL') <> 'NULL' as integer) as n_values from m where {_VALID} and (coalesce(json_type(resp_text, '$.id'), 'NULL') <> 'NULL' or coalesce(json_type(resp_text, '$.currency'), 'NULL') <> 'NULL')"),
-    "css_text": sql(f"select entry_id, i - 1 as pos, concat('\"', trim(v), '\"') as value from (select entry_id, unnest(regexp_extract_all(resp_text, '<h1 class=\"title\">([^<]*)</h1>', 1)) as v, generate_subscripts(regexp_extract_all(resp_text, '<h1 class=\"title\">([^<]*)</h1>', 1), 1) as i from m where {_TEXTUAL} and resp_text is not null)"),
-    "xpath_text": sql(f"select entry_id, i - 1 as pos, concat('\"', trim(v), '\"') as value from (select entry_id, unnest(regexp_extract_all(resp_text, '<h1[^>]*>([^<]*)</h1>', 1)) as v, generate_subscripts(regexp_extract_all(resp_text, '<h1[^>]*>([^<]*)</h1>', 1), 1) as i from m where {_PAGE} and resp_text is not null)"),
-    "regex_extract": sql(f"""select entry_id, i - 1 as pos, v as value from (select entry_id, unnest(regexp_extract_all(resp_text, '"sku":"([A-Z]+)-', 1)) as v, generate_subscripts(regexp_extract_all(resp_text, '"sku":"([A-Z]+)-', 1), 1) as i from m where {_TEXTUAL} and resp_text is not null)"""),
-    "regex_python": sql(f"""select entry_id, i - 1 as pos, concat('"', v, '"') as value from (select entry_id, unnest(regexp_extract_all(resp_text, '"sku":"([A-Z]+)-', 1)) as v, generate_subscripts(regexp_extract_all(resp_text, '"sku":"([A-Z]+)-', 1), 1) as i from m where {_TEXTUAL} and resp_text is not null)"""),
+    "query_body_labels": sql(f"select entry_id, 'response' as target, cast(coalesce(json_type(resp_text, '$.id'), 'NULL') <> 'NULL' as integer) + cast(coalesce(json_type(resp_text, '$.currency'), 'NULL') <> 'NULL' as integer)::bigint as n_values from m where {_VALID} and (coalesce(json_type(resp_text, '$.id'), 'NULL') <> 'NULL' or coalesce(json_type(resp_text, '$.currency'), 'NULL') <> 'NULL')"),
+    "css_text": sql(f"select entry_id, cast(i - 1 as integer) as pos, concat('\"', trim(v), '\"') as value from (select entry_id, unnest(regexp_extract_all(resp_text, '<h1 class=\"title\">([^<]*)</h1>', 1)) as v, generate_subscripts(regexp_extract_all(resp_text, '<h1 class=\"title\">([^<]*)</h1>', 1), 1) as i from m where {_TEXTUAL} and resp_text is not null)"),
+    "xpath_text": sql(f"select entry_id, cast(i - 1 as integer) as pos, concat('\"', trim(v), '\"') as value from (select entry_id, unnest(regexp_extract_all(resp_text, '<h1[^>]*>([^<]*)</h1>', 1)) as v, generate_subscripts(regexp_extract_all(resp_text, '<h1[^>]*>([^<]*)</h1>', 1), 1) as i from m where {_PAGE} and resp_text is not null)"),
+    "regex_extract": sql(f"""select entry_id, cast(i - 1 as integer) as pos, v as value from (select entry_id, unnest(regexp_extract_all(resp_text, '"sku":"([A-Z]+)-', 1)) as v, generate_subscripts(regexp_extract_all(resp_text, '"sku":"([A-Z]+)-', 1), 1) as i from m where {_TEXTUAL} and resp_text is not null)"""),
+    "regex_python": sql(f"""select entry_id, cast(i - 1 as integer) as pos, concat('"', v, '"') as value from (select entry_id, unnest(regexp_extract_all(resp_text, '"sku":"([A-Z]+)-', 1)) as v, generate_subscripts(regexp_extract_all(resp_text, '"sku":"([A-Z]+)-', 1), 1) as i from m where {_TEXTUAL} and resp_text is not null)"""),
     "form_keys": sql("""select key, count(distinct entry_id) as n_urls, count(*) as n_pairs, round(count(distinct entry_id) / (select count(*) from m where contains(url, '?')), 6) as frequency
 from (select entry_id, url_decode(replace(string_split(p, '=')[1], '+', ' ')) as key from (select entry_id, unnest(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&')) as p from m where contains(url, '?')) where p <> '' and not contains(p, ';')) group by key"""),
     "json_top_fields": sql(f"""select b.cluster_id, k.key as path, round(count(*) / any_value(t.n), 6) as frequency, count(*) = any_value(t.n) and count(*) filter (json_type(k.value) = 'NULL') = 0 as required, count(*) filter (json_type(k.value) = 'NULL') > 0 as nullable
@@ -104,7 +104,7 @@ from b join (select cluster_id, count(*) as n from b group by 1 having bool_and(
 when json_valid(resp_text) and json_type(resp_text) = 'OBJECT' and json_type(resp_text, '$.id') = 'VARCHAR' and coalesce(json_type(resp_text, '$.currency'), 'VARCHAR') = 'VARCHAR' then 'matching' else 'failed' end as status from m"""),
     "graphql_operations": sql("select entry_id, batch_index, name, type, is_batched, has_variables, has_errors from ops", _OPS),
     "graphql_survey": sql("select name, type, count(*) as count, count(*) filter (has_errors) as error_count, bool_or(has_variables) as has_variables from ops group by all", _OPS),
-    "graphql_examples": sql("select name, type, entry_id, rank from (select name, type, entry_id, row_number() over (partition by name, type order by ts_ms desc, entry_id, batch_index) as rank from ops) where rank <= 5", _OPS),
+    "graphql_examples": sql("select name, type, entry_id, cast(rank as integer) as rank from (select name, type, entry_id, row_number() over (partition by name, type order by ts_ms desc, entry_id, batch_index) as rank from ops) where rank <= 5", _OPS),
     "graphql_traffic_summary": sql("""select count(*) as total_requests, count(*) filter (type = 'query') as query_count, count(*) filter (type = 'mutation') as mutation_count, count(*) filter (type = 'subscription') as subscription_count,
 count(*) filter (name = 'anonymous') as anonymous_count, count(distinct entry_id) filter (is_batched) as batched_count, count(distinct concat(name, chr(0), type)) as unique_operations, count(distinct host) as n_hosts from ops""", _OPS),
     "graphql_variables": sql("""select name, type, variable, coalesce(first(vt order by n desc, vt) filter (vt <> 'null'), 'null') as value_type, coalesce(sum(n) filter (vt = 'null'), 0)::bigint as null_count from (

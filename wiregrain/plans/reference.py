@@ -292,11 +292,11 @@ from found, (select min(ts_ms) as lo, max(ts_ms) as hi from found)){tail}""",
 
 
 ORACLES: dict[str, str] = {
-    "sessions_list": "select session_id, coalesce(name, '') as name, coalesce(len(entry_ids), 0) as entry_count from sessions",
-    "session_entries": sql("select l.session_id, l.pos, l.entry_id, m.url, m.status from (select session_id, unnest(entry_ids) as entry_id, generate_subscripts(entry_ids, 1) - 1 as pos from sessions) l join m on m.entry_id = l.entry_id"),
+    "sessions_list": "select session_id, coalesce(name, '') as name, cast(coalesce(len(entry_ids), 0) as integer) as entry_count from sessions",
+    "session_entries": sql("select l.session_id, cast(l.pos as integer) as pos, l.entry_id, m.url, m.status from (select session_id, unnest(entry_ids) as entry_id, generate_subscripts(entry_ids, 1) - 1 as pos from sessions) l join m on m.entry_id = l.entry_id"),
     "entries_meta": sql(f"select {_SUMMARY} from m"),
-    "header_rows": sql("""select entry_id, 'request' as side, i - 1 as pos, h.name as name, h.value as value from (select entry_id, unnest(request_pairs) as h, generate_subscripts(request_pairs, 1) as i from m)
-union all select entry_id, 'response', i - 1, h.name, h.value from (select entry_id, unnest(response_pairs) as h, generate_subscripts(response_pairs, 1) as i from m)"""),
+    "header_rows": sql("""select entry_id, 'request' as side, cast(i - 1 as integer) as pos, h.name as name, h.value as value from (select entry_id, unnest(request_pairs) as h, generate_subscripts(request_pairs, 1) as i from m)
+union all select entry_id, 'response', cast(i - 1 as integer), h.name, h.value from (select entry_id, unnest(response_pairs) as h, generate_subscripts(response_pairs, 1) as i from m)"""),
     "credentials": sql("""select entry_id, 'cookie' as kind, c.name as name, c.value as value from (select entry_id, unnest(cookies) as c from m)
 union all select entry_id, 'api_key', c.name, c.value from (select entry_id, unnest(api_keys) as c from m) union all select entry_id, 'set_cookie', c.name, c.value from (select entry_id, unnest(set_cookies) as c from m)"""),
     "content_kinds": sql(f"select resp_content_type, {_classify('resp_content_type')} as category, count(*) as n from m group by all"),
@@ -318,7 +318,7 @@ from m where contains(lower(req_text), 'mauve') or contains(lower(resp_text), 'm
     "endpoint_categories": sql("select category, count(*) as n_clusters, cast(sum(count) as bigint) as n_entries from endpoint group by all", _CLUSTERS),
     "endpoint_members": sql("select cluster_id, place - 1 as place, entry_id from placed", _SAMPLE),
     "endpoint_examples": sql("select cluster_id, place - 1 as place, entry_id from placed where n_all <= 3 or ((place - 1) % (n_all // 3) = 0 and (place - 1) // (n_all // 3) < 3)", _SAMPLE),
-    "describe_headers": sql("""select cluster_id, rank, name, round(n / n_sample, 6) as frequency from (select cluster_id, n_sample, name, n, row_number() over (partition by cluster_id order by n desc, f) as rank from (
+    "describe_headers": sql("""select cluster_id, cast(rank as integer) as rank, name, round(n / n_sample, 6) as frequency from (select cluster_id, n_sample, name, n, row_number() over (partition by cluster_id order by n desc, f) as rank from (
   select cluster_id, n_sample, name, count(*) as n, min({'place': place, 'pos': pos}) as f from (
     select cluster_id, n_sample, place, h.name as name, min(i) as pos from (select cluster_id, n_sample, place, unnest(request_pairs) as h, generate_subscripts(request_pairs, 1) as i from sample) group by all) group by cluster_id, n_sample, name)) where rank <= 20""", _SAMPLE),
     "describe_auth": sql("""select cluster_id, bool_or(len(list_filter(request_pairs, lambda h: h.name = 'cookie')) > 0) as cookies_present,
