@@ -21,14 +21,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a cluster.
+    """Make this package importable in the Python workers: it is zipped and added to the application once.
 
-    Local masters share the driver's files, so nothing is done there. On a
-    cluster the package is zipped and added to the application once.
+    Workers do not share the driver's import path, on a local master neither.
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        return
     if getattr(sc, "_wiregrain_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="wiregrain-"), "wiregrain.zip")
