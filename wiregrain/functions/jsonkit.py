@@ -16,6 +16,7 @@ def _no_constant(name: str) -> Any:
     raise ValueError(f"{name} is not JSON")
 
 
+_quoted = json.encoder.encode_basestring_ascii
 _decoder = json.JSONDecoder(parse_constant=_no_constant)
 
 
@@ -126,13 +127,17 @@ def kind(value: Any) -> str:
 def canonical(value: Any) -> str:
     """A text equal for equal JSON values: members sorted, 1.0 as 1."""
     t = type(value)
-    if t is float and value.is_integer() and abs(value) < 2**53:
-        value = int(value)
-    elif t is dict:
-        return "{" + ",".join(json.dumps(k) + ":" + canonical(value[k]) for k in sorted(value)) + "}"
-    elif t is list:
-        return "[" + ",".join(map(canonical, value)) + "]"
-    return json.dumps(value)
+    if t is str:
+        return _quoted(value)
+    if t is dict:
+        return "{" + ",".join([_quoted(k) + ":" + canonical(value[k]) for k in sorted(value)]) + "}"
+    if t is list:
+        return "[" + ",".join([canonical(x) for x in value]) + "]"
+    if t is float:
+        return repr(int(value)) if value.is_integer() and abs(value) < 2**53 else repr(value)
+    if t is int:
+        return repr(value)
+    return "null" if value is None else "true" if value else "false"
 
 
 def value_hash(value: Any) -> int:
