@@ -173,6 +173,17 @@ def test_extractor():
         bodies.Extractor("x", "sql")
 
 
+@pytest.mark.parametrize(
+    ("kind", "body", "want"),
+    [
+        ("application/json", b'{"ab": ["Cd-ef", 12, {"gh": true}]}', ["ab", "cd", "ef", "gh"]), ("application/json", b'{"ab', ['{"ab']), ("text/html", b"<p class=x>Hi there</p>", ["hi", "there"]),
+        ("application/x-www-form-urlencoded", b"aa=b%20cc&dd=", ["aa", "cc", "dd"]), ("text/plain", b"one two", ["one", "two"]), ("image/png", b"abc", []), ("text/plain", None, []), ("text/csv", b"xx,yy", ["xx", "yy"]),
+    ],
+)
+def test_body_tokens(kind, body, want):
+    assert sorted(bodies.body_tokens(body, kind)) == sorted(want)
+
+
 def test_compact():
     assert bodies.compact([1, 2, 3, 4, 5]) == [1, 2, 3, "... (2 more items)"]
     assert bodies.compact({"a": "x" * 600})["a"] == "x" * 500 + "... (100 more chars)"

@@ -8,6 +8,7 @@ import urllib.parse
 from typing import Any
 
 from . import dom, jq, jsonkit
+from .text import ask as tokens
 
 MODES = ("css", "xpath", "regex", "form", "jq")
 _ALIKE = {"json": "jq", "yaml": "jq", "html": "css", "xml": "xpath", "form": "form"}
@@ -127,6 +128,49 @@ class Extractor:
         return mode, form.get(self.expression, [])[: self.most or None], []
 
 
+def body_tokens(body: bytes | None, content_type: str, most: int = 65_536) -> list[str]:
+    """Search tokens of a body by category; only its first ``most`` bytes count.
+
+    JSON gives member names and text values (broken JSON its plain text),
+    HTML and XML the text outside tags, forms keys and values, text and CSV
+    everything; other bodies have none.
+    """
+    kind = category(content_type)
+    if not body or kind == "binary":
+        return []
+    text = body[:most].decode("utf-8", "replace")
+    if kind == "json":
+        try:
+            parts, stack = [], [jsonkit.parse_json(text)]
+            while stack:
+                v = stack.pop()
+                if isinstance(v, dict):
+                    parts += v
+                    stack += v.values()
+                elif isinstance(v, list):
+                    stack += v
+                elif isinstance(v, str):
+                    parts.append(v)
+            text = " ".join(parts)
+        except ValueError:
+            pass
+    elif kind in ("html", "xml"):
+        text = re.sub("<[^>]*>", " ", text)
+    elif kind == "form":
+        try:
+            text = " ".join(x for k, vs in parse_form(text).items() for x in (k, *vs))
+        except ValueError:
+            pass
+    elif kind == "yaml":
+        return []
+    return tokens(text)
+
+
+def validate_expression(expression: str, mode: str) -> None:
+    """``ValueError`` where an expression is none of the mode."""
+    Extractor(expression, mode)
+
+
 def compact(value: Any, items: int = 3, length: int = 500, depth: int = 0, level: int = 0) -> Any:
     """A JSON value with long arrays and texts shortened; ``depth`` 0 is no limit, ``length`` counts bytes."""
     if depth and level >= depth:

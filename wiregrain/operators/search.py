@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.bodies import body_tokens
 from .meta import SUMMARY, entries_meta
 
 
@@ -108,6 +111,21 @@ def filtered(entries: DataFrame, f: Filters, columns: tuple[str, ...] = ("url",
     return kept.where(condition(f)).select("entry_id", *wanted)
 
 
+def _body_tokens(most: int) -> Callable[..., pd.Series]:
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([sorted({*body_tokens(y, w, most), *body_tokens(z, x, most)}) for w, y, x, z in zip(a, b, c, d, strict=True)])
+
+    return run
+
+
+def body_token_counts(entries: DataFrame, most: int = 65_536) -> DataFrame:
+    """In how many entries each token occurs in a body."""
+    kept = entries_meta(entries, ("req_content_type", "req_body", "resp_content_type", "resp_body"))
+    split = F.pandas_udf(_body_tokens(most), "array<string>")
+    found = kept.select(F.explode(split("req_content_type", "req_body", "resp_content_type", "resp_body")).alias("token"))
+    return found.groupBy("token").agg(F.count(F.lit(1)).alias("n_entries"))
+
+
 def search(entries: DataFrame, query: str = "", f: Filters = Filters(), limit: int | None = 20, offset: int = 0, body_index: bool = False, body_index_bytes: int = 65_536) -> DataFrame:  # noqa: B008
     """Ranked entries: every token of ``query`` must occur in URL, headers or (with ``body_index``) bodies.
 
@@ -117,13 +135,13 @@ def search(entries: DataFrame, query: str = "", f: Filters = Filters(), limit: i
     smaller entry id. ``limit=None`` ranks all.
     """
     asked = text.ask(query)
-    extra = {"ts_ms", "url", "header_pairs"} | ({"req_body", "resp_body"} if body_index else set())
+    extra = {"ts_ms", "url", "header_pairs"} | ({"req_body", "resp_body", "req_content_type"} if body_index else set())
     kept = entries_meta(entries, sorted({*SUMMARY, *extra, *needed_columns(f)})).where(condition(f))
     kept = kept.withColumn("_url", text.url_tokens(F.col("url"))).withColumn("_head", text.header_tokens(F.col("header_pairs")))
     none = F.array().cast("array<string>")
     if body_index:
-        both = F.concat_ws(" ", *[F.substring(F.regexp_replace(F.make_valid_utf8(F.col(c).cast("string")), "<[^>]*>", " "), 1, body_index_bytes) for c in ("req_body", "resp_body")])
-        kept = kept.withColumn("_body", text.tokens(F.regexp_replace(both, r'["{}\[\]\\]', " ")))
+        split = F.pandas_udf(_body_tokens(body_index_bytes), "array<string>")
+        kept = kept.withColumn("_body", split("req_content_type", "req_body", "resp_content_type", "resp_body"))
     else:
         kept = kept.withColumn("_body", none)
     for t in dict.fromkeys(asked):

@@ -187,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "status_classes": on(catalog.status_classes),
     "url_token_counts": on(meta.url_token_counts),
     "header_token_counts": on(meta.header_token_counts),
+    "body_token_counts": on(search.body_token_counts),
     **{k: _filter(f) for k, (f, _) in FILTERS.items()},
     "search_tokens_and": on(lambda e: search.search(e, "reviews json", limit=None).select("entry_id", "url")),
     "search_scores": on(lambda e: search.search(e, "json v2 reviews", Filters(method="GET", header_name="cookie"), limit=None).select("entry_id", "score", "highlights", "matched_in")),
