@@ -146,10 +146,10 @@ def regex_values(entries: DataFrame, pattern: str, group: int = 0, target: str =
 def form_keys(entries: DataFrame) -> DataFrame:
     """Keys of query strings: in how many URLs with a query they occur, and how often."""
     kept = latest_entries(entries, {"url": F.col("url")}).where(F.contains("url", F.lit("?")))
-    total = kept.agg(F.count(F.lit(1)).alias("n_all"))
+    total = max(kept.count(), 1)
     pairs = kept.select("entry_id", F.explode(text.query_pairs(F.col("url"))).alias("p")).select("entry_id", "p.key")
     counted = pairs.groupBy("key").agg(F.countDistinct("entry_id").alias("n_urls"), F.count(F.lit(1)).alias("n_pairs"))
-    return counted.crossJoin(F.broadcast(total)).select("key", "n_urls", "n_pairs", F.round(F.col("n_urls") / F.col("n_all"), 6).alias("frequency"))
+    return counted.select("key", "n_urls", "n_pairs", F.round(F.col("n_urls") / F.lit(total), 6).alias("frequency"))
 
 
 def compact_bodies(entries: DataFrame, mode: str = "compact", target: str = "response", max_bytes: int = 0) -> DataFrame:

@@ -94,8 +94,7 @@ def endpoint_clusters(entries: DataFrame, scope: Scope | None = None, min_count:
 def endpoint_page(clusters: DataFrame, max_clusters: int = 200, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of the largest clusters, ``total_count`` included; ties by key."""
     top = clusters.orderBy(F.desc("count"), *KEY).limit(min(max_clusters, 2000))
-    total = top.agg(F.count(F.lit(1)).alias("total_count"))
-    return top.crossJoin(F.broadcast(total)).orderBy(F.desc("count"), *KEY).offset(offset).limit(limit)
+    return top.withColumn("total_count", F.lit(top.count()).cast("bigint")).orderBy(F.desc("count"), *KEY).offset(offset).limit(limit)
 
 
 def cluster_members(entries: DataFrame, scope: Scope | None = None) -> DataFrame:

@@ -21,16 +21,20 @@ def related(nodes: DataFrame, seed_id: str, window_ms: int = 120_000, same_pid:
 
     The seed is one row, found by its key; an unknown seed relates to nothing.
     """
-    seed = nodes.where(F.col("entry_id") == seed_id).select(*[F.col(c).alias(f"_{c}") for c in ("entry_id", "ts_ms", "host", "pid", "tls_connection_id", "h2_connection_id")])
-    near = F.abs(F.col("ts_ms") - F.col("_ts_ms")) <= window_ms // 2
+    found = nodes.where(F.col("entry_id") == seed_id).limit(1).collect()
+    if not found:
+        return nodes.limit(0)
+    seed = found[0]
+    near = F.abs(F.col("ts_ms") - seed["ts_ms"]) <= window_ms // 2
     if same_pid:
-        near = near & (F.col("pid") == F.col("_pid"))
+        near = near & (F.col("pid") == seed["pid"])
     if same_host:
-        near = near & (F.col("host") == F.col("_host"))
-    tls = (F.col("tls_connection_id") != "") & (F.col("tls_connection_id") == F.col("_tls_connection_id"))
-    h2 = (F.col("h2_connection_id") != "") & (F.col("h2_connection_id") == F.col("_h2_connection_id"))
-    joined = nodes.join(F.broadcast(seed), (F.col("entry_id") == F.col("_entry_id")) | tls | h2 | near)
-    return joined.select(*nodes.columns)
+        near = near & (F.col("host") == seed["host"])
+    test = (F.col("entry_id") == seed_id) | near
+    for connection in ("tls_connection_id", "h2_connection_id"):
+        if seed[connection]:
+            test = test | (F.col(connection) == seed[connection])
+    return nodes.where(test)
 
 
 def _keys(scope: Column) -> Column:

@@ -146,16 +146,15 @@ def search(entries: DataFrame, query: str = "", f: Filters = Filters(), limit: i
         kept = kept.withColumn("_body", none)
     for t in dict.fromkeys(asked):
         kept = kept.where(F.array_contains("_url", t) | F.array_contains("_head", t) | F.array_contains("_body", t))
-    span = kept.agg(F.min("ts_ms").alias("_lo"), F.max("ts_ms").alias("_hi"))
+    lo, hi = kept.agg(F.min("ts_ms"), F.max("ts_ms")).first()  # the span of the hits: two numbers
     n = max(len(asked), 1)
     found = {k: text.hits(asked, F.col(c)) for k, c in (("url", "_url"), ("header", "_head"), ("body", "_body"))}
-    length = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(F.col("_hi") - F.col("_lo"))
-    recency = (F.col("ts_ms") - F.col("_lo")) / length
+    recency = (F.col("ts_ms") - (lo or 0)) / F.lit(max((hi or 0) - (lo or 0), 1))
     score = found["url"] / n * 0.4 + found["header"] / n * 0.3 + found["body"] / n * 0.2 + recency * 0.3
     score = score + F.lit((0.1 if f.method else 0.0) + (0.2 if f.header_name else 0.0) + 0.1)
     marks = F.array_compact(F.array(*[F.when(F.array_contains("_url", t), F.lit(t)) for t in asked])) if asked else none
     where = F.array_compact(F.array(*[F.when(v > 0, F.lit(k)) for k, v in found.items()]))
-    ranked = kept.crossJoin(F.broadcast(span)).select(
+    ranked = kept.select(
         "entry_id", *SUMMARY, F.round(score, 6).alias("score"), F.array_join(marks, ",").alias("highlights"), F.array_join(where, ",").alias("matched_in")
     )
     ranked = ranked.orderBy(F.desc("score"), "entry_id")
