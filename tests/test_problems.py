@@ -14,6 +14,7 @@ import pytest
 from conftest import DATA, make_entry, rows
 from pyspark.sql import functions as F
 
+from wiregrain.functions import jsonkit
 from wiregrain.operators import drift, nested, packed, skew
 from wiregrain.sources import read_table
 from wiregrain.sources.tables import places
@@ -158,6 +159,27 @@ def test_drift_tables(entries_of):
     assert flat["1", "x"] == (1.0, "1") and flat["2", "x"] == (None, "s") and len(flat["2", "big"][1]) == 100_000
 
 
+def test_unified_records_keep_arrays_and_objects(entries_of):
+    first = [{"id": 1, "codes": ["a", "b"], "x": 1, "o": {}, "m": [1, {"k": [True]}, [2]]}]
+    second = [{"id": 2, "codes": "a", "x": ["s", 2.0], "o": {"b": 1, "a": []}, "deep": json.loads('{"a":' * 300 + "1" + "}" * 300)}]
+    df = drift_entries(entries_of, [first, second])
+    found = {(r["rec_id"], r["field_path"]): (r["type"], r["as_text"]) for r in drift.unified_records(df).collect()}
+    assert found["1", "codes"] == ("array", '["a","b"]') and found["2", "codes"] == ("string", "a")
+    assert found["1", "x"] == ("number", "1") and found["2", "x"] == ("array", '["s",2]')
+    assert found["1", "o"] == ("object", "{}") and found["2", "o"] == ("object", '{"a":[],"b":1}')
+    assert found["1", "m"] == ("array", '[1,{"k":[true]},[2]]') and found["1", "m[].k"] == ("array", "[true]")
+    deep: list = []
+    for _ in range(3_000):
+        deep = [1, {"b": deep, "a": {}}]
+    text = jsonkit.canonical_text(deep)
+    assert text == jsonkit.canonical_text(jsonkit.parse_json(text)) and text.startswith('[1,{"a":{},"b":[1,{"a":{},"b":')
+    # every path of the schemas has rows, and of every type that the schema names
+    kinds: dict = {}
+    for (_, path), (t, _) in found.items():
+        kinds.setdefault(path, set()).add(t)
+    assert kinds == {r["field_path"]: set(r["alternatives"].split("|")) for r in drift.cluster_schemas(df).collect()}
+
+
 # -- packed values --------------------------------------------------------------
 
 

@@ -140,13 +140,17 @@ def canonical(value: Any) -> str:
     return "null" if value is None else "true" if value else "false"
 
 
-def value_hash(value: Any) -> int:
-    """Signed 64-bit hash of ``canonical``."""
+def canonical_text(value: Any) -> str:
+    """``canonical`` of a value of any depth."""
     try:
-        text = canonical(value)
+        return canonical(value)
     except RecursionError:
-        text = _flat(value)
-    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+        return _flat(value)
+
+
+def value_hash(value: Any) -> int:
+    """Signed 64-bit hash of ``canonical``."""
+    h = xxhash.xxh64_intdigest(canonical_text(value).encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
@@ -161,13 +165,17 @@ def _flat(value: Any) -> str:
         elif type(v) is dict:
             out.append("{")
             stack.append((True, "}"))
-            for k in sorted(v, reverse=True):
-                stack += [(True, ","), (False, v[k]), (True, json.dumps(k) + ":")]
+            for i, k in enumerate(sorted(v, reverse=True), 1):
+                stack += [(False, v[k]), (True, _quoted(k) + ":")]
+                if i < len(v):
+                    stack.append((True, ","))
         elif type(v) is list:
             out.append("[")
             stack.append((True, "]"))
-            for x in reversed(v):
-                stack += [(True, ","), (False, x)]
+            for i, x in enumerate(reversed(v), 1):
+                stack.append((False, x))
+                if i < len(v):
+                    stack.append((True, ","))
         else:
             out.append(canonical(v))
     return "".join(out)

@@ -32,6 +32,7 @@ from ..sources.tables import latest_entries, stage
 #: type tags, one bit each; the least bit has the least conversion effort
 TAGS = {"string": 1, "number": 2, "boolean": 4, "object": 8, "array": 16, "null": 0}
 _ITEM, _STEP, _NEXT = "\x1e", "\x1f", "\x1d"
+_FLUSH = 8_000_000
 
 RECORD_SCHEMA = "cluster_id string, file_no int, rec_id string, shape string, hashes array<bigint>"
 
@@ -255,15 +256,24 @@ def cluster_schemas(entries: DataFrame) -> DataFrame:
 
 
 def unified_records(entries: DataFrame) -> DataFrame:
-    """All usable bodies in one table: a row per scalar field with typed branches and the canonical text.
+    """All usable bodies in one table: a row per value of a field with its type, typed branches and the canonical text.
 
     ``as_number`` and ``as_boolean`` hold the value where it has that type;
-    ``as_text`` holds every value.
+    ``as_text`` holds every value, objects and arrays as JSON text. Array
+    elements that are not objects have no path of their own; they are in the
+    text of their array.
     """
 
+    names = ["cluster_id", "file_no", "rec_id", "field_path", "place", "type", "as_number", "as_boolean", "as_text"]
+    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.string()]
+
+    def made(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in names]
+        held = 0
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
             for cluster, file_no, raw in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 try:
                     body = jsonkit.parse_bytes(raw)
@@ -271,22 +281,22 @@ def unified_records(entries: DataFrame) -> DataFrame:
                     continue
                 if type(body) is not dict or "id" not in body:
                     continue
-                rec = jsonkit.clean(jsonkit.canonical(body["id"]))
+                rec = jsonkit.clean(jsonkit.canonical_text(body["id"]))
                 for path, (_, values) in fields_of(body).items():
                     name = jsonkit.clean(path.replace(_ITEM, "[]").replace(_STEP, "."))
                     for i, v in enumerate(values):
                         t = jsonkit.kind(v)
-                        if t in ("object", "array"):
-                            continue
-                        row = (cluster, file_no, rec, name, i, float(v) if t == "number" else None, v if t == "boolean" else None, v if t == "string" else None if v is None else jsonkit.canonical(v))
+                        text = v if t == "string" else None if v is None else jsonkit.canonical_text(v)
+                        row = (cluster, file_no, rec, name, i, t, float(v) if t == "number" else None, v if t == "boolean" else None, text)
                         for c, x in zip(out, row, strict=True):
                             c.append(jsonkit.clean(x) if type(x) is str else x)
-            types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, types, strict=True)],
-                names=["cluster_id", "file_no", "rec_id", "field_path", "place", "as_number", "as_boolean", "as_text"],
-            )
+                        held += 100 + len(text or "")
+                        if held >= _FLUSH:
+                            yield made(out)
+                            out, held = [[] for _ in names], 0
+        if out[0]:
+            yield made(out)
 
     return usable_bodies(entries).mapInArrow(
-        run, "cluster_id string, file_no int, rec_id string, field_path string, place int, as_number double, as_boolean boolean, as_text string"
+        run, "cluster_id string, file_no int, rec_id string, field_path string, place int, type string, as_number double, as_boolean boolean, as_text string"
     )
