@@ -251,6 +251,15 @@ def test_packed_learns_values_that_hold_a_delimiter(spark):
     assert packed.learn(copies, grammars)["tags"].joined == {}
 
 
+def test_packed_headers_never_join_values(entries_of):
+    """A fixed pair of proxies or tags behind many distinct values stays two values, at any size."""
+    for n in (5, 60):
+        made = [make_entry(f"e{i}", headers=[["X-Forwarded-For", f"10.0.0.{i}, 192.0.2.1, 192.0.2.2"]], response={"headers": [["X-Cache-Tags", f"t{i}|site; shop"]]}) for i in range(n)]
+        got = rows(packed.header_values(entries_of(made)))
+        want = [("request", k, v) for k, v in enumerate(["10.0.0.{}", "192.0.2.1", "192.0.2.2"])] + [("response", k, v) for k, v in enumerate(["t{}", "site", "shop"])]
+        assert got == sorted((f"e{i}", side, 0, k, v.format(i)) for i in range(n) for side, k, v in want)
+
+
 # -- hot keys -------------------------------------------------------------------
 
 

@@ -12,7 +12,9 @@ EM keeps it there. Proposed are runs of chunks that hold together throughout
 the column: seen in at least ``support`` distinct fields, and in nearly all
 fields that hold any of their chunks. Everything else is separated, which is
 the likeliest path without a second hypothesis; such fields need no lattice.
-Columns whose grammar fixes the one delimiter are separated by it.
+Columns whose grammar is fixed are separated at every delimiter. All packed
+headers are: their lists may mix delimiters, but none stands inside an unquoted
+value, however often two values stand together.
 
 Defined results: null and empty fields give no rows; empty values are skipped
 and not counted in ``value_pos``; an unclosed quote or bracket is an ordinary
@@ -40,7 +42,7 @@ _WHOLE = re.compile(r'"((?:[^"\\]|\\.|"")*)"', re.DOTALL)
 
 @dataclass(frozen=True)
 class Grammar:
-    """How one column packs its values. ``pairs``: values must be name=value."""
+    """How one column packs its values. ``fixed``: every delimiter separates; ``pairs``: values must be name=value."""
 
     delimiters: str
     fixed: bool = False
@@ -50,13 +52,13 @@ class Grammar:
 #: packed headers by side and lower-case name
 REQUEST_HEADERS = {
     "cookie": Grammar(";", fixed=True, pairs=True),
-    "x-feature-tags": Grammar(",;|\t"),
-    "x-forwarded-for": Grammar(",;|\t"),
+    "x-feature-tags": Grammar(",;|\t", fixed=True),
+    "x-forwarded-for": Grammar(",;|\t", fixed=True),
 }
 RESPONSE_HEADERS = {
     "link": Grammar(",", fixed=True),
-    "x-cache-tags": Grammar(",;|\t"),
-    "vary": Grammar(",;|\t"),
+    "x-cache-tags": Grammar(",;|\t", fixed=True),
+    "vary": Grammar(",;|\t", fixed=True),
 }
 GRAMMARS = REQUEST_HEADERS | RESPONSE_HEADERS
 
@@ -331,5 +333,4 @@ def packed_headers(entries: DataFrame) -> DataFrame:
 def header_values(entries: DataFrame) -> DataFrame:
     """Every value packed in a header: entry_id, side, header_pos, value_pos, value."""
     fields = stage(packed_headers(entries), "packed-headers")
-    models = learn(fields, GRAMMARS)
-    return split_fields(spread(fields), ["entry_id", "side", "header_pos"], GRAMMARS, models)
+    return split_fields(spread(fields), ["entry_id", "side", "header_pos"], GRAMMARS, {})
