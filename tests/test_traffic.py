@@ -55,6 +55,13 @@ def test_search_scores(corpus):
     assert all(0.1 <= r["score"] <= 1.6 for r in search.search(corpus, "v1", Filters(method="GET", header_name="accept"), limit=None).collect())
 
 
+def test_search_reads_whole_bodies(entries_of):
+    df = entries_of([make_entry("a", response={"body": {"n": 12345, "pad": "x" * 70_000, "msg": "farbehind"}})])
+    assert {tuple(r) for r in search.body_token_counts(df).collect()} == {("pad", 1), ("x" * 70_000, 1), ("msg", 1), ("farbehind", 1)}
+    assert search.search(df, "farbehind", limit=None, body_index=True).count() == 1
+    assert search.search(df, "farbehind", limit=None, body_index=True, body_index_bytes=65_536).count() == 0
+
+
 def test_body_matches(corpus):
     assert [tuple(r) for r in search.body_matches(corpus, "red", context=3).collect()] == [("d", "https://api.example.com:8443/v1/users", "response", 'lo RED"}')]
 

@@ -128,8 +128,8 @@ class Extractor:
         return mode, form.get(self.expression, [])[: self.most or None], []
 
 
-def body_tokens(body: bytes | None, content_type: str, most: int = 65_536) -> list[str]:
-    """Search tokens of a body by category; only its first ``most`` bytes count.
+def body_tokens(body: bytes | None, content_type: str, most: int | None = None) -> list[str]:
+    """Search tokens of a body by category; with ``most`` only of its first bytes.
 
     JSON gives member names and text values (broken JSON its plain text),
     HTML and XML the text outside tags, forms keys and values, text and CSV

@@ -111,14 +111,14 @@ def filtered(entries: DataFrame, f: Filters, columns: tuple[str, ...] = ("url",
     return kept.where(condition(f)).select("entry_id", *wanted)
 
 
-def _body_tokens(most: int) -> Callable[..., pd.Series]:
+def _body_tokens(most: int | None) -> Callable[..., pd.Series]:
     def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([sorted({*body_tokens(y, w, most), *body_tokens(z, x, most)}) for w, y, x, z in zip(a, b, c, d, strict=True)])
 
     return run
 
 
-def body_token_counts(entries: DataFrame, most: int = 65_536) -> DataFrame:
+def body_token_counts(entries: DataFrame, most: int | None = None) -> DataFrame:
     """In how many entries each token occurs in a body."""
     kept = entries_meta(entries, ("req_content_type", "req_body", "resp_content_type", "resp_body"))
     split = F.pandas_udf(_body_tokens(most), "array<string>")
@@ -126,13 +126,14 @@ def body_token_counts(entries: DataFrame, most: int = 65_536) -> DataFrame:
     return found.groupBy("token").agg(F.count(F.lit(1)).alias("n_entries"))
 
 
-def search(entries: DataFrame, query: str = "", f: Filters = Filters(), limit: int | None = 20, offset: int = 0, body_index: bool = False, body_index_bytes: int = 65_536) -> DataFrame:  # noqa: B008
+def search(entries: DataFrame, query: str = "", f: Filters = Filters(), limit: int | None = 20, offset: int = 0, body_index: bool = False, body_index_bytes: int | None = None) -> DataFrame:  # noqa: B008
     """Ranked entries: every token of ``query`` must occur in URL, headers or (with ``body_index``) bodies.
 
     The score adds 0.4, 0.3 and 0.2 times the share of asked tokens found in
     URL, headers and bodies, 0.1 for a method filter, 0.3 times the recency
     among the hits, 0.2 for a header-name filter, and 0.1. Ties go to the
-    smaller entry id. ``limit=None`` ranks all.
+    smaller entry id. ``limit=None`` ranks all. ``body_index_bytes`` cuts
+    each body before it is indexed.
     """
     asked = text.ask(query)
     extra = {"ts_ms", "url", "header_pairs"} | ({"req_body", "resp_body", "req_content_type"} if body_index else set())
