@@ -372,6 +372,30 @@ def test_nested_tables(spark):
     assert rows(nested.pivot_group(records, "/*/g", ["n", "record_id"])) == [("r", "/0/g", "/0", "a", "q"), ("r", "/1/g", "/1", "b", None)]
 
 
+def test_all_groups_of_all_sources(spark, entries_of):
+    body = [{"v": 1, "*": None, "g": {"n": "a", "x/y": True}, "codes": ["p", 2], "none": []}, [[3]]]
+    e = entries_of([make_entry("e", response={"body": body})], CLASH)
+    op = spark.createDataFrame([("o", '{"f": [{"k": 1}]}'), ("o", '{"f": [{"k": 2}]}'), ("o", '{"f": [{"k": 1}]}'), ("p", "{broken")], "op_id string, variables string")
+    hello = spark.createDataFrame([("c", '{"s": {"g": "x"}}')], "connection_id string, extensions string")
+    got = {(r["source"], r["group_path"], r["node_path"], tuple(map(tuple, r["members"]))): (r["parent_group"], r["parent_path"]) for r in nested.capture_groups(e, op, hello).collect()}
+    assert got == {
+        ("body", "/*", "/0", (("v", "number", "1"), ("*", "null", None), ("codes", "array", None), ("none", "array", None))): ("", ""),
+        ("body", "/*/g", "/0/g", (("n", "string", "a"), ("x/y", "boolean", "true"))): ("/*", "/0"),
+        ("body", "/*/codes/*", "/0/codes/0", (("*", "string", "p"),)): ("/*", "/0"),
+        ("body", "/*/codes/*", "/0/codes/1", (("*", "number", "2"),)): ("/*", "/0"),
+        ("body", "/*", "/1", (("*", "array", None),)): ("", ""),
+        ("body", "/*/*", "/1/0", (("*", "array", None),)): ("", ""),
+        ("body", "/*/*/*", "/1/0/0", (("*", "number", "3"),)): ("", ""),
+        ("variables", "", "", (("f", "array", None),)): ("", ""),
+        ("variables", "/f/*", "/f/0", (("k", "number", "1"),)): ("", ""),
+        ("variables", "/f/*", "/f/0", (("k", "number", "2"),)): ("", ""),
+        ("extensions", "", "", ()): ("", ""),
+        ("extensions", "/s", "/s", (("g", "string", "x"),)): ("", ""),
+    }
+    tables = {tuple(r) for r in nested.capture_tables(e, op, hello).collect()}
+    assert {("body", "/*/codes/*", "/*", 2, "*:number,*:string"), ("variables", "/f/*", "", 2, "k:number"), ("extensions", "/s", "", 1, "g:string")} <= tables
+
+
 def test_deep_record(spark):
     deep = '{"a":' * 3_000 + "1" + "}" * 3_000
     df = spark.createDataFrame([("d", deep)], "id string, t string")

@@ -4,6 +4,7 @@ Each record is parsed once and turned into path-value-ordinal records
 (``nested_records``); paths are grouped by their repeated ancestor, the path
 with all array places left open (``group_path``); each group is one table
 (``pivot_group``) whose rows carry their own pointer and that of the parent.
+``group_rows`` gives all groups at once, the members of a row as a list.
 
 Defined results: null, empty and invalid texts give no rows; a root that is a
 scalar gives none; of members with one name the last counts; copies of a
@@ -29,6 +30,16 @@ RECORD_SCHEMA = (
 _FLUSH = 20_000
 
 
+def text_of(value: object) -> str | None:
+    if value is None:
+        return None
+    if value is True:
+        return "true"
+    if value is False:
+        return "false"
+    return jsonkit.clean(value) if type(value) is str else repr(value)
+
+
 def _records(kinds: frozenset[str] | None, binary: bool):
     schema = pa.schema(
         [
@@ -42,15 +53,6 @@ def _records(kinds: frozenset[str] | None, binary: bool):
         ]
     )
 
-    def text_of(value: object) -> str | None:
-        if value is None:
-            return None
-        if value is True:
-            return "true"
-        if value is False:
-            return "false"
-        return value if type(value) is str else repr(value)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in schema]
         for batch in batches:
@@ -70,7 +72,7 @@ def _records(kinds: frozenset[str] | None, binary: bool):
                     out[3].append(group if group.isascii() else jsonkit.clean(group))
                     out[4].append(places)
                     out[5].append(kind)
-                    out[6].append(None if value is None else jsonkit.clean(text_of(value)))
+                    out[6].append(text_of(value))
                 if len(out[0]) >= _FLUSH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
                     out = [[] for _ in schema]
@@ -134,6 +136,83 @@ def pivot_group(records: DataFrame, group_path: str, members: Sequence[str]) ->
     )
 
 
+GROUP_SCHEMA = (
+    "record_id string, group_path string, parent_group string, node_path string, parent_path string, "
+    "ordinals array<int>, members array<struct<name:string,kind:string,value:string>>"
+)
+
+
+def _group_rows(binary: bool):
+    member = pa.struct([("name", pa.string()), ("kind", pa.string()), ("value", pa.string())])
+    types = [pa.string()] * 5 + [pa.list_(pa.int32()), pa.list_(member)]
+    names = ["record_id", "group_path", "parent_group", "node_path", "parent_path", "ordinals", "members"]
+
+    def made(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = []
+        for batch in batches:
+            for rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    root = jsonkit.parse_bytes(raw) if binary else jsonkit.parse_json(raw)
+                except ValueError:
+                    continue
+                # groups and members by pointer of the object; an object comes before all below it
+                objects: dict[str, tuple[str, list]] = {}
+                for path, owner, group, places, kind, value in jsonkit.walk(root):
+                    item = group.endswith("/*") and not path.endswith("/*")
+                    if kind == "object":
+                        members: list = []
+                    elif item:
+                        members = [("*", kind, text_of(value))]
+                    else:
+                        if path:
+                            name = path.rpartition("/")[2].replace("~1", "/").replace("~0", "~")
+                            objects[owner][1].append((jsonkit.clean(name), kind, text_of(value)))
+                        continue
+                    above = objects[owner][0] if path and owner in objects else ""
+                    if kind == "object":
+                        objects[path] = (group, members)
+                    out.append([rid, *map(jsonkit.clean, (group, above, path, owner)), places, members])
+                if len(out) >= _FLUSH:
+                    yield made(out)
+                    out = []
+        if out:
+            yield made(out)
+
+    return run
+
+
+def group_rows(df: DataFrame, record_id: Column, text: Column) -> DataFrame:
+    """Every group of the documents in ``text`` pivoted: a row per object with its scalar members.
+
+    Array elements that are not objects are rows of the group of their array,
+    with one member ``*``. Arrays are members of kind ``array`` without value.
+    """
+    two = df.select(record_id.cast("string").alias("record_id"), text.alias("text")).where("record_id is not null and text is not null")
+    return two.mapInArrow(_group_rows(dict(two.dtypes)["text"] == "binary"), GROUP_SCHEMA)
+
+
+def capture_groups(entries: DataFrame, operations: DataFrame, hellos: DataFrame) -> DataFrame:
+    """``group_rows`` of response bodies, operation variables and ClientHello extensions, with ``source``."""
+    found = {
+        source: group_rows(df, F.col("record_id"), F.col("text")).select(F.lit(source).alias("source"), "*")
+        for source, df in capture_sources(entries, operations, hellos).items()
+    }
+    return found["body"].unionByName(found["variables"].unionByName(found["extensions"]).distinct())
+
+
+def capture_tables(entries: DataFrame, operations: DataFrame, hellos: DataFrame) -> DataFrame:
+    """The tables of all three sources: source, group path, parent's group path, rows, member names and their kinds."""
+    key = ["source", "group_path", "parent_group"]
+    kinds = F.transform("members", lambda m: F.concat_ws(":", m["name"], m["kind"]))
+    shapes = capture_groups(entries, operations, hellos).groupBy(*key, kinds.alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    return shapes.groupBy(*key).agg(
+        F.sum("n").alias("n_rows"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("shape")))), ",").alias("members")
+    )
+
+
 def capture_sources(entries: DataFrame, operations: DataFrame, hellos: DataFrame) -> dict[str, DataFrame]:
     """The three nested sources of a capture as (record_id, text), each record once."""
     bodies = latest_entries(entries, {"text": F.expr("try_to_binary(response.body, 'base64')")}).select(

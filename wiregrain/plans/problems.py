@@ -47,6 +47,8 @@ QUERIES: dict[str, Query] = {
     "p4_cluster_counts": _on("entries", "clusters")(skew.cluster_entry_counts),
     "p4_host_counts": _on("entries")(skew.host_entry_counts),
     "p5_found": _on(*_NESTED)(nested.object_nodes),
+    "p5_group_tables": _on(*_NESTED)(nested.capture_tables),
+    "p5_group_rows": _on(*_NESTED)(nested.capture_groups),
     "p5_extension_tables": _on(*_NESTED)(_nested_tables),
     "p5_key_share_groups": _on("tls_client_hellos")(_key_shares),
 }
