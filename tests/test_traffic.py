@@ -158,6 +158,24 @@ def test_body_shapes(entries_of):
     assert [c["type"] for c in got["csv"]["columns"]] == ["string", "number"] and got["xml"]["root"]["children"][0]["repeated"] and got["text"]["skipped"]
 
 
+def test_body_shapes_hold_all_bodies(entries_of):
+    def many(path, kind, body_of, n=30):
+        return [make_entry(f"{path}{i:02}", ts=i, url=f"https://h.x/{path}", response={"body": body_of(i), "headers": [["content-type", kind]] if kind and i != 5 else []}) for i in range(n)]
+
+    made = many("j", "application/json", lambda i: {"a": 1} | ({"late": 1} if i == 29 else {}))
+    made += many("x", "text/xml", lambda i: "<r><late/></r>" if i == 29 else "<r/>") + many("f", "application/x-www-form-urlencoded", lambda i: "late=1" if i == 29 else "k=1")
+    made += many("c", "text/csv", lambda i: "n,s\n" + "1,x\n" * 10 + ("one,y\n" if i == 29 else ""))
+    made.append(make_entry("j99", ts=99, url="https://h.x/j", response={"body": "<p>hi</p>", "headers": [["content-type", "text/html"]]}))
+    df = entries_of(made)
+    found = [(r["content_category"], r["sample_count"], json.loads(r["shape"])) for r in shapes.body_shapes(df.repartition(3)).collect()]
+    got = {c: s for c, _, s in found}
+    assert sorted((c, n) for c, n, _ in found) == [("csv", 30), ("form", 30), ("html", 1), ("json", 30), ("xml", 30)]
+    assert set(got["json"]["schema"]["properties"]) == {"a", "late"} and not got["json"]["all_match"] and got["json"]["schema"]["required"] == ["a"]
+    assert got["xml"]["root"]["children"][0]["name"] == "late" and {k["key"]: k["frequency"] for k in got["form"]["form_keys"]} == {"k": 0.966667, "late": 0.033333}
+    assert [(c["type"], c["enum_values"], c["examples"]) for c in got["csv"]["columns"]] == [("string", ["1", "one"], ["1", "one"]), ("string", ["x", "y"], ["x", "y"])] and got["csv"]["row_count"] == 301
+    assert {r["content_category"]: r["sample_count"] for r in shapes.body_shapes(df, sample=20).collect()} == {"csv": 20, "form": 20, "json": 20, "xml": 20}
+
+
 def test_validation(entries_of):
     df = entries_of([make_entry("a", response={"body": {"id": "1"}}), make_entry("b", response={"body": {"id": 1}}), make_entry("c", response=None)])
     found = validation.validate_bodies(df, "z.object({ id: z.string() })", "zod")

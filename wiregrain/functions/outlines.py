@@ -12,7 +12,6 @@ from . import dom
 
 XML_DEPTH = 5
 HTML_ELEMENTS, HTML_DEPTH = 200, 5
-CSV_ROWS = 100
 _NUMBER = re.compile(r"[+-]?(\d+(_\d+)*\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?(inf|infinity|nan)|0[xX][0-9a-fA-F]+p[+-]?\d+", re.IGNORECASE)
 # Formats of text values, tried in this order.
 FORMATS = (
@@ -66,11 +65,11 @@ class XmlOutline:
     def dump(self) -> dict:
         out: dict[str, Any] = {"name": self.name, "child_count": len(self.children)}
         if self.attributes:
-            out["attributes"] = list(self.attributes)
+            out["attributes"] = sorted(self.attributes)
         if self.repeated:
             out["repeated"] = True
         if self.children:
-            out["children"] = [c.dump() for c in self.children.values()]
+            out["children"] = [self.children[c].dump() for c in sorted(self.children)]
         return out
 
 
@@ -171,18 +170,60 @@ def text_format(values: list[str]) -> tuple[str, list[str]]:
     return ("enum", distinct) if len(distinct) <= MAX_ENUM else ("", [])
 
 
+class CsvColumn:
+    """Type, format, share of empty cells and examples of a column; columns of the same name merge."""
+
+    def __init__(self, place: tuple) -> None:
+        self.place, self.cells, self.values = place, 0, 0
+        self.number = self.boolean = True
+        self.formats = {name for name, _ in FORMATS}
+        self.distinct: set[str] = set()
+        self.firsts: dict[str, tuple] = {}
+
+    def add(self, cell: str, order: tuple) -> None:
+        self.cells += 1
+        if not cell:
+            return
+        self.values += 1
+        self.number = self.number and is_number(cell)
+        self.boolean = self.boolean and cell.lower() in ("true", "false", "0", "1")
+        self.formats = {n for n, p in FORMATS if n in self.formats and re.search(p, cell)} if self.formats else self.formats
+        if len(self.distinct) <= MAX_ENUM:
+            self.distinct.add(cell)
+        if len(self.firsts) < 3 or cell in self.firsts or order < max(self.firsts.values()):
+            self._first({cell: order})
+
+    def _first(self, found: dict[str, tuple]) -> None:
+        for cell, order in found.items():
+            self.firsts[cell] = min(order, self.firsts.get(cell, order))
+        self.firsts = dict(sorted(self.firsts.items(), key=lambda x: x[1])[:3])
+
+    def merge(self, other: CsvColumn) -> CsvColumn:
+        self.place = min(self.place, other.place)
+        self.cells, self.values = self.cells + other.cells, self.values + other.values
+        self.number, self.boolean = self.number and other.number, self.boolean and other.boolean
+        self.formats &= other.formats
+        self.distinct |= other.distinct  # more than MAX_ENUM on any side: no enumeration
+        self._first(other.firsts)
+        return self
+
+    def dump(self, name: str) -> dict:
+        kind = "string" if not self.values else "number" if self.number else "boolean" if self.boolean else "string"
+        form, enum = "", []
+        if kind == "string" and self.values >= MIN_SAMPLES:
+            form = next((n for n, _ in FORMATS if n in self.formats), "")
+            if not form and len(self.distinct) <= MAX_ENUM:
+                form, enum = "enum", sorted(self.distinct)
+        empty = round((self.cells - self.values) / self.cells, 6) if self.cells else 0.0
+        return {"column": name, "type": kind, "format": form, "empty_frequency": empty, "examples": list(self.firsts), "enum_values": enum}
+
+
 def csv_columns(names: list[str], rows: list[list[str]]) -> list[dict]:
-    """Type, format, share of empty cells and examples per column, over the first rows."""
-    rows = rows[:CSV_ROWS]
+    """``CsvColumn`` of each column over all rows."""
     out = []
     for i, name in enumerate(names):
-        cells = [r[i].strip() if i < len(r) else "" for r in rows]
-        values = [c for c in cells if c]
-        kind = "string"
-        if values and all(map(is_number, values)):
-            kind = "number"
-        elif values and all(v.lower() in ("true", "false", "0", "1") for v in values):
-            kind = "boolean"
-        form, enum = text_format(values) if kind == "string" else ("", [])
-        out.append({"column": name, "type": kind, "format": form, "empty_frequency": round((len(cells) - len(values)) / len(cells), 6) if cells else 0.0, "examples": list(dict.fromkeys(values))[:3], "enum_values": enum})
+        column = CsvColumn((i,))
+        for k, row in enumerate(rows):
+            column.add(row[i].strip() if i < len(row) else "", (k,))
+        out.append(column.dump(name))
     return out
