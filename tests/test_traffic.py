@@ -158,6 +158,15 @@ def test_body_shapes(entries_of):
     assert [c["type"] for c in got["csv"]["columns"]] == ["string", "number"] and got["xml"]["root"]["children"][0]["repeated"] and got["text"]["skipped"]
 
 
+def test_long_pages_and_deep_fields(entries_of):
+    page = {"body": "<div>" * 8 + "<p>x</p>" * 300 + "</div>" * 8, "headers": [["content-type", "text/html"]]}
+    counts = {r["tag"]: (r["n"], r["n_pages"]) for r in shapes.html_tag_counts(entries_of([make_entry("a", response=page)])).collect()}
+    assert counts["p"] == (300, 1) and counts["div"] == (8, 1)
+    deep = {"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": {"i": 1}}}}}}}}}
+    found = {r["path"]: r["type"] for r in infer.field_stats(entries_of([make_entry("a", response={"body": deep})])).collect()}
+    assert len(found) == 9 and found["a.b.c.d.e.f.g.h.i"] == "integer"
+
+
 def test_body_shapes_hold_all_bodies(entries_of):
     def many(path, kind, body_of, n=30):
         return [make_entry(f"{path}{i:02}", ts=i, url=f"https://h.x/{path}", response={"body": body_of(i), "headers": [["content-type", kind]] if kind and i != 5 else []}) for i in range(n)]

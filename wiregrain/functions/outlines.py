@@ -11,7 +11,6 @@ from typing import Any
 from . import dom
 
 XML_DEPTH = 5
-HTML_ELEMENTS, HTML_DEPTH = 200, 5
 _NUMBER = re.compile(r"[+-]?(\d+(_\d+)*\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?(inf|infinity|nan)|0[xX][0-9a-fA-F]+p[+-]?\d+", re.IGNORECASE)
 # Formats of text values, tried in this order.
 FORMATS = (
@@ -86,7 +85,7 @@ def xml_outline(text: str) -> XmlOutline:
 
 @dataclass
 class HtmlOutline:
-    """Title, tag counts, ids, forms with inputs, and meta tags of the first elements of a page."""
+    """Title, tag counts, ids, forms with inputs, and meta tags of a page; of its first ``elements`` down to ``depth`` where given."""
 
     title: str = ""
     tags: dict[str, int] = field(default_factory=dict)
@@ -96,17 +95,19 @@ class HtmlOutline:
     truncated: bool = False
 
     @classmethod
-    def of(cls, text: str) -> HtmlOutline:
+    def of(cls, text: str, elements: int | None = None, depth: int | None = None) -> HtmlOutline:
         out, seen = cls(), 0
         stack = [(dom.parse_html(text), 0)]
-        while stack and seen < HTML_ELEMENTS:
-            n, depth = stack.pop()
+        while stack and (elements is None or seen < elements):
+            n, level = stack.pop()
             if n.tag and n.tag != "#document":
                 seen += 1
                 out.note(n)
-            if depth < HTML_DEPTH:
-                stack += [(c, depth + 1) for c in reversed(n.children)]
-        out.truncated = seen >= HTML_ELEMENTS
+            if depth is None or level < depth:
+                stack += [(c, level + 1) for c in reversed(n.children)]
+            elif n.elements():
+                out.truncated = True
+        out.truncated |= any(n.tag for n, _ in stack)
         return out
 
     def note(self, n: dom.Node) -> None:

@@ -24,7 +24,6 @@ from .catalog import KEY, cluster_id
 from .meta import META
 
 _MOST_GROUPS = 2_000
-MAX_DEPTH = 5
 
 
 def cluster_bodies(entries: DataFrame, target: str = "response") -> DataFrame:
@@ -102,9 +101,9 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             except ValueError:
                 continue
             order = f"{ts:020d}{entry}"
-            stack = [("", root, 0)]
+            stack = [("", root)]
             while stack:
-                path, v, depth = stack.pop()
+                path, v = stack.pop()
                 t = type_of(v)
                 # containers only need to be told apart
                 text = None if t == "null" else "" if path == "" else f"#{jsonkit.value_hash(v)}" if t in ("object", "array") else jsonkit.canonical(v)
@@ -114,10 +113,10 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held[key][0] = min(held[key][0], order)
                 else:
                     held[key] = [order, 1]
-                if t == "object" and depth <= MAX_DEPTH + 1:
-                    stack += [(f"{path}.{k}" if path else k, x, depth + 1) for k, x in v.items()]
+                if t == "object":
+                    stack += [(f"{path}.{k}" if path else k, x) for k, x in v.items()]
                 elif t == "array" and path:
-                    stack += [(path + "[]", x, depth) for x in v]
+                    stack += [(path + "[]", x) for x in v]
         keys = list(held)
         yield pa.RecordBatch.from_arrays(
             [pa.array([None if k[i] is None else jsonkit.clean(k[i]) for k in keys], pa.string()) for i in range(4)]
@@ -168,14 +167,12 @@ def field_stats(entries: DataFrame, target: str = "response", examples: int = 3)
     kind = F.lit(None).cast("string")
     for name, _ in reversed(outlines.FORMATS):
         kind = F.when(F.col(f"is_{name}"), name).otherwise(F.when(kind.isNotNull(), kind).otherwise(F.when(F.col("n_few") <= outlines.MAX_ENUM, "enum"))) if name == outlines.FORMATS[-1][0] else F.when(F.col(f"is_{name}"), name).otherwise(kind)
-    depth = F.size(F.split("path", r"\.")) - 1
-    out = joined.select(
+    return joined.select(
         "cluster_id", "path", F.array_join("types", "|").alias("type"), F.round(F.col("present") / F.col("parents"), 6).alias("frequency"),
         ((F.col("present") == F.col("parents")) & (F.col("nulls") == 0)).alias("required"), (F.col("nulls") > 0).alias("nullable"), "distinct_count",
         F.coalesce("examples", F.lit("[]")).alias("examples"), F.coalesce(F.when(only_text, kind), F.lit("")).alias("format"),
-        F.when(only_text & (kind == "enum"), F.col("few")).otherwise("").alias("enum_values"), depth.alias("depth"),
+        F.when(only_text & (kind == "enum"), F.col("few")).otherwise("").alias("enum_values"),
     )
-    return out.where(F.col("depth") <= MAX_DEPTH).drop("depth")
 
 
 def _java_formats() -> list[tuple[str, str]]:
