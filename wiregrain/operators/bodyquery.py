@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bodies, content, headers, text
 from ..functions.jsonkit import clean
-from ..sources.tables import latest_entries, spread
+from ..sources.tables import latest_entries
 
 TARGETS = ("request", "response", "both")
 _SCHEMA = "entry_id string, target string, mode string, status string, pos int, value string"
@@ -88,7 +88,7 @@ def query_bodies(entries: DataFrame, expression: str, mode: str = "", target: st
     limits the values of a body (0: all).
     """
     bodies.Extractor(expression, mode, most)
-    return spread(decoded_bodies(entries, target, entry_ids)).mapInArrow(_run(expression, mode, most), _SCHEMA)
+    return decoded_bodies(entries, target, entry_ids).mapInArrow(_run(expression, mode, most), _SCHEMA)
 
 
 def values_of(found: DataFrame, deduplicate: bool = False) -> DataFrame:
@@ -163,4 +163,4 @@ def compact_bodies(entries: DataFrame, mode: str = "compact", target: str = "res
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["entry_id", "target", "text"])
 
-    return spread(decoded_bodies(entries, target)).mapInArrow(run, "entry_id string, target string, text string")
+    return decoded_bodies(entries, target).mapInArrow(run, "entry_id string, target string, text string")

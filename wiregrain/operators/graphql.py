@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import gql, headers, jsonkit
-from ..sources.tables import latest_entries, spread, stage
+from ..sources.tables import latest_entries, stage
 from .meta import META
 
 _OPERATION = (
@@ -65,7 +65,7 @@ def operations(entries: DataFrame) -> DataFrame:
             "response": F.when(request.isNotNull() & json_type("response"), F.expr("try_to_binary(response.body, 'base64')")),
         },
     ).where("request is not null")
-    return spread(kept).mapInArrow(_parse, _OPERATION)
+    return kept.mapInArrow(_parse, _OPERATION)
 
 
 def operation_clusters(ops: DataFrame) -> DataFrame:

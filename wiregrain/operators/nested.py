@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonkit
-from ..sources.tables import latest_entries, spread
+from ..sources.tables import latest_entries
 
 RECORD_SCHEMA = (
     "record_id string, node_path string, parent_path string, group_path string, "
@@ -220,7 +220,7 @@ def capture_sources(entries: DataFrame, operations: DataFrame, hellos: DataFrame
     )
     variables = operations.select(F.col("op_id").alias("record_id"), F.col("variables").alias("text")).where("text is not null").distinct()
     extensions = hellos.select(F.col("connection_id").alias("record_id"), F.col("extensions").alias("text")).where("text is not null").distinct()
-    return {"body": bodies, "variables": spread(variables), "extensions": spread(extensions)}
+    return {"body": bodies, "variables": variables, "extensions": extensions}
 
 
 def capture_records(entries: DataFrame, operations: DataFrame, hellos: DataFrame, kinds: Sequence[str] | None = None) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonkit import clean
 from ..functions.schemas import parse_schema, validate
-from ..sources.tables import spread
 from .bodyquery import decoded_bodies
 
 _SCHEMA = "entry_id string, target string, status string, errors array<string>"
@@ -36,7 +35,7 @@ def validate_bodies(entries: DataFrame, schema_text: str, notation: str, target:
                 errors.append([clean(e) for e in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status, pa.string()), pa.array(errors, pa.list_(pa.string()))], names=["entry_id", "target", "status", "errors"])
 
-    return spread(decoded_bodies(entries, target)).mapInArrow(run, _SCHEMA)
+    return decoded_bodies(entries, target).mapInArrow(run, _SCHEMA)
 
 
 def validation_summary(found: DataFrame) -> DataFrame:

@@ -39,22 +39,34 @@ def ship_package(spark: SparkSession) -> None:
     sc._wiregrain_shipped = True
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores.
-
-    A large scan already has more splits than that and passes unchanged; only
-    an input of few files is dealt out, so that Python work uses all cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """``scan`` in as many partitions as there are cores, where it is small.
+
+    Meant for reads of tables, before Python work: a table of few row groups
+    would keep most cores idle. The decision is the optimizer's estimate of
+    the scan's size, so nothing is run while a query is built. A scan that has
+    a full split per core already passes unchanged, and results of a shuffle
+    are never dealt out again.
     """
-    spark = df.sparkSession
+    spark = scan.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(cores) if size < cores * split else scan
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master (as in tests) gets a temporary folder;
+    on a cluster that is an error, since executors would write to disks of
+    their own.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or getattr(sc, "_wiregrain_shared", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = sc._wiregrain_shared = "file://" + tempfile.mkdtemp(prefix="wiregrain-shared-")
     return folder.rstrip("/")
 
