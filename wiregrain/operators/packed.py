@@ -1,24 +1,35 @@
 """Several values packed in one field: learned segmentation.
 
 A field is cut at candidate delimiters into chunks; quoted spans and spans in
-angle brackets stay whole. A lattice holds every way to join neighbouring
-chunks (up to ``max_join``) into values. Expectation-maximisation over all
-distinct fields of a column learns how often each value occurs and how often a
-delimiter is part of a value; Viterbi then takes the likeliest path of each
-lattice.
-
-A joined value that was never proposed has probability zero at the start, and
-EM keeps it there. Proposed are runs of chunks that hold together throughout
-the column: seen in at least ``support`` distinct fields, and in nearly all
-fields that hold any of their chunks. Everything else is separated, which is
-the likeliest path without a second hypothesis; such fields need no lattice.
-Columns whose grammar is fixed are separated at every delimiter. All packed
-headers are: their lists may mix delimiters, but none stands inside an unquoted
-value, however often two values stand together.
+angle brackets are atomic. Which candidates really separate is not known in
+advance, neither for a column nor for one of its fields, and is learned:
+
+* The *lattice* of a field has the chunk borders as nodes and every run of
+  chunks that some reading of the field makes a value as edge. A reading says
+  which of the field's delimiters separate; within a field a delimiter does so
+  everywhere or nowhere, so there are at most ``2 ** delimiters`` readings.
+* *Expectation-maximisation* over all distinct fields of a column learns how
+  often each value occurs (in how many other fields a run is a value) and how
+  often each delimiter separates. A field never supports its own values, so a
+  run proves itself only by recurring elsewhere; values that recur nowhere get
+  the probability of their characters.
+* *Viterbi* takes the likeliest reading of each field.
+
+Two values that often stand together do not become one: the run that joins
+them competes with two values that are each at least as frequent. The model of
+values is a table that is joined, not held; only delimiter shares, character
+shares and values so frequent that their number is bounded
+(``_HOT`` per learning round) reach the driver.
+
+A grammar may restrict readings: ``pairs`` drops chunks without ``=``,
+``starts`` joins a chunk that cannot begin a value to the one before.
 
 Defined results: null and empty fields give no rows; empty values are skipped
-and not counted in ``value_pos``; an unclosed quote or bracket is an ordinary
-character; repeated fields are separated alike; white space never separates.
+and not counted in ``value_pos``; an empty chunk shows that the delimiters
+around it separate; an unclosed quote or bracket is an ordinary character;
+repeated fields are separated alike; white space never separates; without a
+model nothing separates. If readings are equally likely, the one with more
+separators is taken.
 """
 
 from __future__ import annotations
@@ -30,6 +41,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,28 +50,25 @@ from ..sources.tables import latest_entries, spread, stage
 _SPAN = r'"(?:[^"\\]|\\.|"")*"|<[^<>]*>'
 _ESCAPE = re.compile(r'\\(.)|""', re.DOTALL)
 _WHOLE = re.compile(r'"((?:[^"\\]|\\.|"")*)"', re.DOTALL)
+#: a value or field with at least this share of all rows of a join is hot; there are at most ``1 / _HOT`` of them
+_HOT = 1e-3
+#: share of values that are drawn from the table of known values, the rest is spelled by characters
+_KNOWN = 0.5
 
 
 @dataclass(frozen=True)
 class Grammar:
-    """How one column packs its values. ``fixed``: every delimiter separates; ``pairs``: values must be name=value."""
+    """How one column may pack its values: candidate delimiters, and what a value must look like."""
 
     delimiters: str
-    fixed: bool = False
     pairs: bool = False
+    starts: str = ""
 
 
+_LIST = Grammar(",;|\t")
 #: packed headers by side and lower-case name
-REQUEST_HEADERS = {
-    "cookie": Grammar(";", fixed=True, pairs=True),
-    "x-feature-tags": Grammar(",;|\t", fixed=True),
-    "x-forwarded-for": Grammar(",;|\t", fixed=True),
-}
-RESPONSE_HEADERS = {
-    "link": Grammar(",", fixed=True),
-    "x-cache-tags": Grammar(",;|\t", fixed=True),
-    "vary": Grammar(",;|\t", fixed=True),
-}
+REQUEST_HEADERS = {"cookie": Grammar(";", pairs=True), "x-feature-tags": _LIST, "x-forwarded-for": _LIST}
+RESPONSE_HEADERS = {"link": Grammar(",;", starts="<"), "x-cache-tags": _LIST, "vary": _LIST}
 GRAMMARS = REQUEST_HEADERS | RESPONSE_HEADERS
 
 
@@ -67,18 +76,6 @@ def _cutter(grammar: Grammar) -> re.Pattern[str]:
     return re.compile(f"({_SPAN})|([{re.escape(grammar.delimiters)}])", re.DOTALL)
 
 
-def chunks(text: str, cutter: re.Pattern[str]) -> tuple[list[str], list[str]]:
-    """The chunks between candidate delimiters, and these delimiters."""
-    parts, marks, start = [], [], 0
-    for m in cutter.finditer(text):
-        if m.group(2) is not None:
-            parts.append(text[start : m.start()])
-            marks.append(m.group(2))
-            start = m.end()
-    parts.append(text[start:])
-    return parts, marks
-
-
 def tidy(value: str) -> str:
     """Outer white space goes; quotes around the whole value go with their escapes undone."""
     value = value.strip()
@@ -86,219 +83,351 @@ def tidy(value: str) -> str:
     return _ESCAPE.sub(lambda e: e.group(1) or '"', m.group(1)) if m else value
 
 
+@dataclass
+class Lattice:
+    """The chunks of a field and the borders between them.
+
+    ``chunks``: (start, end) of each chunk that is part of a value.
+    ``borders``: per border the delimiter that stands there, or "" where an
+    empty or dropped chunk shows that values end there. ``sure``: delimiters
+    that separate in this field whatever its reading.
+    """
+
+    text: str
+    chunks: list[tuple[int, int]] = field(default_factory=list)
+    borders: list[str] = field(default_factory=list)
+    sure: set[str] = field(default_factory=set)
+
+    @property
+    def open(self) -> str:
+        """The delimiters of which it is not known whether they separate, in a fixed order."""
+        return "".join(sorted(set(self.borders) - {""}))
+
+    def runs(self, separators: str) -> list[tuple[str, int]]:
+        """The values of the reading in which ``separators`` separate, and how many chunks each has."""
+        out: list[tuple[str, int]] = []
+        start = 0
+        for i, (_, end) in enumerate(self.chunks):
+            if i == len(self.borders) or self.borders[i] == "" or self.borders[i] in separators:
+                out.append((tidy(self.text[self.chunks[start][0] : end]), i + 1 - start))
+                start = i + 1
+        return out
+
+    def values(self, separators: str) -> list[str]:
+        """The values of that reading."""
+        return [v for v, _ in self.runs(separators)]
+
+
+def lattice(text: str, grammar: Grammar, cutter: re.Pattern[str]) -> Lattice:
+    """The lattice of a field."""
+    out = Lattice(text)
+    since: list[str] = []  # delimiters since the last chunk that is kept
+    cuts = [(m.start(), m.end()) for m in cutter.finditer(text) if m.group(2) is not None]
+    start = 0
+    for stop, after in [*cuts, (len(text), len(text))]:
+        part = text[start:stop].strip()
+        if part and not (grammar.pairs and "=" not in part):
+            if len(since) == 1 and out.chunks and grammar.starts and not part.startswith(grammar.starts):
+                out.chunks[-1] = (out.chunks[-1][0], stop)
+            else:
+                plain = len(since) == 1 and bool(out.chunks)
+                if out.chunks:
+                    out.borders.append(since[0] if plain else "")
+                if not plain:
+                    out.sure.update(since)
+                out.chunks.append((start, stop))
+            since = []
+        if stop < len(text):
+            since.append(text[stop])
+        start = after
+    if out.chunks:
+        out.sure.update(since)
+    return out
+
+
+def readings(delimiters: str) -> list[str]:
+    """All sets of separators a field with these open delimiters may have, fewest first."""
+    sets = [""]
+    for d in delimiters:
+        sets += [s + d for s in sets]
+    return sorted(sets, key=lambda s: (len(s), s))
+
+
+def _hash(name: str, value: str) -> int:
+    h = xxhash.xxh64_intdigest(f"{name}\x1f{value}".encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+@dataclass
+class Spelling:
+    """How likely a string of characters is in a column."""
+
+    delimiters: str = ""
+    shares: dict[str, float] = field(default_factory=dict)
+    total: float = 0.0
+
+    def log(self, value: str, chunks: int) -> float:
+        """Log share of a value of this many chunks; its delimiters are not spelled, since a border has a share of its own."""
+        room = math.log(self.total + 1e5)
+        letters = [c for c in value if c not in self.delimiters]
+        return sum(math.log(self.shares.get(c if c < "\x80" else "\x80", 0.0) + 0.5) - room for c in letters) + chunks * math.log(1 - _KNOWN)
+
+
 @dataclass
 class Model:
-    """Learned frequencies of one column: values, and the share of delimiters inside values."""
+    """What is learned of one column: how often each delimiter separates, and the mass of its values."""
 
-    joined: dict[str, float] = field(default_factory=dict)
-    single: dict[str, float] = field(default_factory=dict)
+    separates: dict[str, float] = field(default_factory=dict)
     total: float = 1.0
-    keep: float = 1e-6
-
-    def log(self, value: str, is_joined: bool, delimiters: int) -> float:
-        n = self.joined.get(value, 0.0) if is_joined else self.single.get(value, 0.5)
-        if n <= 0:
-            return -math.inf
-        return math.log(n / self.total) + delimiters * math.log(self.keep)
-
-
-def _runs(parts: list[str], marks: list[str], max_join: int) -> Iterator[tuple[int, int, str]]:
-    """Runs of two and more neighbouring non-empty chunks, as they stand in the text."""
-    for i in range(len(parts)):
-        if not parts[i].strip():
-            continue
-        text = parts[i]
-        for j in range(i + 1, min(i + max_join, len(parts))):
-            if not parts[j].strip():
-                break
-            text += marks[j - 1] + parts[j]
-            yield i, j, text.strip()
-
-
-def viterbi(parts: list[str], marks: list[str], model: Model, max_join: int) -> list[str]:
-    """The likeliest values of a field."""
-    edges = {(i, j): t for i, j, t in _runs(parts, marks, max_join) if t in model.joined}
-    if not edges:
-        return parts
-    n = len(parts)
-    best: list[tuple[float, int]] = [(0.0, 0)] + [(-math.inf, 0)] * n
-    stay = math.log1p(-min(model.keep, 0.999))
-    for end in range(1, n + 1):
-        p = parts[end - 1].strip()
-        options = [(best[end - 1][0] + (model.log(p, False, 0) if p else 0.0) + (stay if end > 1 else 0.0), end - 1)]
-        for start in range(max(0, end - max_join), end - 1):
-            text = edges.get((start, end - 1))
-            if text is not None:
-                options.append((best[start][0] + model.log(text, True, end - 1 - start) + (stay if start else 0.0), start))
-        best[end] = max(options)
-    out, end = [], n
-    while end:
-        start = best[end][1]
-        out.append(edges[start, end - 1] if end - start > 1 else parts[start])
-        end = start
-    return out[::-1]
-
-
-def expected_counts(parts: list[str], marks: list[str], model: Model, max_join: int) -> tuple[Counter, Counter, float]:
-    """Expected joined and single values of a field and expected number of kept delimiters (forward-backward)."""
-    edges = {(i, j): t for i, j, t in _runs(parts, marks, max_join) if t in model.joined}
-    n = len(parts)
-    split = 1 - min(model.keep, 0.999)
-    weight: dict[tuple[int, int], float] = {}
-    for i in range(n):
-        p = parts[i].strip()
-        weight[i, i] = math.exp(model.log(p, False, 0)) if p else 1.0
-    for (i, j), t in edges.items():
-        weight[i, j] = math.exp(model.log(t, True, j - i))
-    ahead = [0.0] * (n + 1)
-    ahead[0] = 1.0
-    back = [0.0] * (n + 1)
-    back[n] = 1.0
-    for (i, j), w in sorted(weight.items(), key=lambda x: x[0][1]):
-        ahead[j + 1] += ahead[i] * w * (split if i else 1.0)
-    for (i, j), w in sorted(weight.items(), key=lambda x: -x[0][0]):
-        back[i] += back[j + 1] * w * (split if i else 1.0)
-    joined, single, kept = Counter(), Counter(), 0.0
-    if ahead[n] <= 0:
-        for p in parts:
-            single[p.strip()] += 1
-        return joined, single, kept
-    for (i, j), w in weight.items():
-        r = ahead[i] * w * (split if i else 1.0) * back[j + 1] / ahead[n]
-        if i == j:
-            if parts[i].strip():
-                single[parts[i].strip()] += r
-        else:
-            joined[edges[i, j]] += r
-            kept += r * (j - i)
-    return joined, single, kept
-
-
-def learn(fields: DataFrame, grammars: dict[str, Grammar], max_join: int = 4, support: int = 20, bound: float = 0.9, rounds: int = 5, share: float = 1e-4) -> dict[str, Model]:
-    """Models of the columns in ``fields`` (name, raw), from all distinct fields.
-
-    ``share`` bounds what is held in memory: a proposed value makes up at least
-    this share of its column's chunks, so there are at most ``max_join/share``.
-    """
-    open_names = [n for n, g in grammars.items() if not g.fixed]
-    cutters = {n: _cutter(grammars[n]) for n in open_names}
-    distinct = fields.where(F.col("name").isin(open_names)).select("name", "raw").distinct()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def usual(self, delimiters: str) -> str:
+        """Those of the delimiters that separate as often as not."""
+        return "".join(d for d in delimiters if self.separates.get(d, 0.0) > 0.5 - 1e-6)
+
+    def prior(self, delimiters: str, borders: list[int], separators: str) -> float:
+        """Log share of a reading by its borders alone."""
+        out = 0.0
+        for d, n in zip(delimiters, borders, strict=True):
+            p = min(max(self.separates.get(d, 0.5), 1e-9), 1 - 1e-9)
+            out += n * math.log(p if d in separators else 1 - p)
+        return out
+
+
+def weights(paths: list[list[int]], spelled: list[float], known: list[float], own: list[float], model: Model, delimiters: str, borders: list[int]) -> list[float]:
+    """Log weight of every reading: its borders, and its values as known from other fields or as spelled."""
+    value = []
+    for s, n, o in zip(spelled, known, own, strict=True):
+        share = _KNOWN * max(n - o, 0.0) / max(model.total, 1.0)
+        value.append(math.log(share + math.exp(s)) if share > 0 else s)
+    return [model.prior(delimiters, borders, r) + sum(value[i] for i in path) for r, path in zip(readings(delimiters), paths, strict=True)]
+
+
+def posterior(logs: list[float]) -> list[float]:
+    top = max(logs)
+    shares = [math.exp(x - top) for x in logs]
+    total = sum(shares)
+    return [s / total for s in shares]
+
+
+def viterbi(logs: list[float], delimiters: str) -> str:
+    """The likeliest reading."""
+    best = max(range(len(logs)), key=lambda i: (round(logs[i], 9), i))
+    return readings(delimiters)[best]
+
+
+_PA = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    """The Arrow schema of columns given as ``name type``; types may be nested arrays."""
+
+    def typed(t: str) -> pa.DataType:
+        return pa.list_(typed(t[6:-1])) if t.startswith("array<") else _PA[t]
+
+    return pa.schema([(n, typed(t)) for n, t in (c.split() for c in ddl.split(", "))])
+
+
+_FIELD = (
+    "field_id bigint, name string, raw string, n_rows bigint, delimiters string, sure string, borders array<int>, parts array<double>, "
+    "hashes array<bigint>, spelled array<double>, paths array<array<int>>, own array<double>"
+)
+_DECISION = "name string, raw string, n_rows bigint, separators string"
+
+
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    schema = _arrow(ddl)
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def _held(paths: list[list[int]], n: int, shares: list[float]) -> list[float]:
+    """How far each run is a value of the field, given the shares of its readings."""
+    own = [0.0] * n
+    for path, share in zip(paths, shares, strict=True):
+        for i in set(path):
+            own[i] += share
+    return own
+
+
+def _separated(delimiters: str, borders: list[int], shares: list[float]) -> list[float]:
+    """The expected number of borders that separate, per delimiter."""
+    return [n * sum(p for r, p in zip(readings(delimiters), shares, strict=True) if d in r) for d, n in zip(delimiters, borders, strict=True)]
+
+
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts: Counter = Counter()
+        for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for c, n in Counter(raw).items():
+                counts[name, c if c < "\x80" else "\x80"] += n
+        yield _batch([(*k, n) for k, n in counts.items()], "name string, letter string, n bigint")
+
+
+def _begin(grammars: dict[str, Grammar], spelling: dict[str, Spelling]):
+    """The lattice of every field; all readings are alike to begin with."""
+    cutters = {n: _cutter(g) for n, g in grammars.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts, marks = chunks(raw, cutters[name])
-                for p in {p.strip() for p in parts} - {""}:
-                    seen[name, p, ""] += 1
-                found = {}
-                for i, j, text in _runs(parts, marks, max_join):
-                    for k in range(i, j + 1):
-                        found[name, text, parts[k].strip()] = 1
-                seen.update(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[i] for k in seen], pa.string()) for i in range(3)] + [pa.array(list(seen.values()), pa.int64())],
-                names=["name", "value", "part", "n"],
-            )
-
-    counts = distinct.mapInArrow(count, "name string, value string, part string, n bigint").groupBy("name", "value", "part").agg(F.sum("n").alias("n"))
-    counts = stage(counts, "segment-counts")
-    singles = counts.where("part = ''").select("name", F.col("value").alias("part"), F.col("n").alias("n_part"))
-    totals = {r["name"]: float(r["n"]) for r in singles.groupBy("name").agg(F.sum("n_part").alias("n")).collect()}
-    floor = F.lit(float(support))
-    for name, n in totals.items():
-        floor = F.when(F.col("name") == name, F.greatest(F.lit(float(support)), F.lit(n * share))).otherwise(floor)
-    proposed = (
-        counts.where((F.col("part") != "") & (F.col("n") >= floor))
-        .join(singles.hint("merge"), ["name", "part"])
-        .groupBy("name", "value")
-        .agg(F.max("n").alias("n"), F.max("n_part").alias("most"), F.collect_list(F.struct("part", "n_part")).alias("parts"))
-        .where(F.col("n") >= F.col("most") * bound)
-        .collect()
-    )
-    models = {n: Model(total=max(totals.get(n, 1.0), 1.0)) for n in open_names}
-    for row in proposed:
-        m = models[row["name"]]
-        # the start: what holds together is one value, its chunks stand alone only where they do so elsewhere
-        m.joined[row["value"]] = float(row["n"])
-        m.keep = min(0.5, m.keep + row["n"] / m.total)
-        for part in row["parts"]:
-            m.single[part["part"]] = part["n_part"] - row["n"] + 0.5
-    if not proposed:
-        return models
-    concerned = distinct.where(F.col("name").isin([r["name"] for r in proposed]))
-    for _ in range(rounds):
-        models = _maximise(concerned, models, cutters, max_join)
-    return models
-
-
-def _maximise(fields: DataFrame, models: dict[str, Model], cutters: dict[str, re.Pattern[str]], max_join: int) -> dict[str, Model]:
-    """One EM round; returns only counts of values already in a model, so its size stays bounded."""
-
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
+            rows = []
+            for fid, name, raw, n_rows in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                net = lattice(raw, grammars[name], cutters[name])
+                ds = net.open
+                borders = [net.borders.count(d) for d in ds]
+                at: dict[tuple[str, int], int] = {}
+                paths = [[at.setdefault(v, len(at)) for v in net.runs(r)] for r in readings(ds)]
+                alike = [1 / len(paths)] * len(paths)
+                rows.append(
+                    (fid, name, raw, n_rows, ds, "".join(sorted(net.sure)), borders, _separated(ds, borders, alike), [_hash(name, v) for v, _ in at], [spelling[name].log(*v) for v in at], paths, _held(paths, len(at), alike))
+                )
+            yield _batch(rows, _FIELD)
+
+    return run
+
+
+def _expect(models: dict[str, Model], hot: dict[int, float], decide: bool):
+    """The E-step: shares of a field's readings by the counts of its values in other fields; or, to decide, the likeliest reading where it is not the usual one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                model = models[name]
-                parts, marks = chunks(raw, cutters[name])
-                joined, single, kept = expected_counts(parts, marks, model, max_join)
-                for v, r in joined.items():
-                    sums[name, "joined", v] += r
-                for v, r in single.items():
-                    if v in model.single:
-                        sums[name, "single", v] += r
-                sums[name, "total", ""] += sum(joined.values()) + sum(single.values())
-                sums[name, "kept", ""] += kept
-                sums[name, "marks", ""] += len(marks)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[i] for k in sums], pa.string()) for i in range(3)] + [pa.array(list(sums.values()), pa.float64())],
-            names=["name", "what", "value", "r"],
-        )
-
-    rows = fields.mapInArrow(expect, "name string, what string, value string, r double").groupBy("name", "what", "value").agg(F.sum("r").alias("r")).collect()
-    out = {n: Model(total=m.total, keep=m.keep) for n, m in models.items()}
-    sums = {(r["name"], r["what"], r["value"]): r["r"] for r in rows}
-    for (name, what, value), r in sums.items():
-        m = out[name]
-        if what == "joined":
-            m.joined[value] = r
-        elif what == "single":
-            m.single[value] = max(r, 1e-9)
-        elif what == "total":
-            m.total = max(r, 1.0)
-        elif what == "kept":
-            m.keep = min(max(r / max(sums[name, "marks", ""], 1.0), 1e-6), 0.95)
-    return out
+            rows = []
+            for *row, known in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                fid, name, raw, n_rows, ds, sure, borders, _, hashes, spelled, paths, own = row
+                counts = {k["hash"]: k["n"] for k in known or ()}
+                found = [hot.get(h) or counts.get(h, 0.0) for h in hashes]
+                logs = weights(paths, spelled, found, own, models[name], ds, borders)
+                if decide:
+                    reading = viterbi(logs, ds)
+                    if reading != models[name].usual(ds):
+                        rows.append((name, raw, n_rows, reading))
+                else:
+                    shares = posterior(logs)
+                    rows.append((fid, name, raw, n_rows, ds, sure, borders, _separated(ds, borders, shares), hashes, spelled, paths, _held(paths, len(hashes), shares)))
+            yield _batch(rows, _DECISION if decide else _FIELD)
+
+    return run
+
+
+def _value_counts(fields: DataFrame) -> DataFrame:
+    """In how many fields each run is a value (expected), and in how many it is one in some reading."""
+    each = fields.select("name", F.explode(F.arrays_zip("hashes", "own")).alias("v"))
+    return each.groupBy("name", F.col("v.hashes").alias("hash")).agg(F.sum("v.own").alias("n"), F.count(F.lit(1)).alias("n_fields"))
+
+
+def _separations(fields: DataFrame, most: int) -> list:
+    """Borders, and those expected to separate, by column and delimiters: rows bounded by the grammars."""
+    sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in ("borders", "parts") for i in range(most)]
+    return fields.groupBy("name", "delimiters", "sure").agg(F.count(F.lit(1)).alias("n"), *sums).collect()
+
+
+def _maximise(separations: list, masses: dict[str, float]) -> dict[str, Model]:
+    """The M-step: how often each delimiter separates, and the mass of values, per column."""
+    sums: dict[tuple[str, str], list[float]] = {}
+    for r in separations:
+        for d in r["sure"]:
+            got = sums.setdefault((r["name"], d), [0.0, 0.0])
+            got[0] += r["n"]
+            got[1] += r["n"]
+        for i, d in enumerate(r["delimiters"]):
+            got = sums.setdefault((r["name"], d), [0.0, 0.0])
+            got[0] += r[f"parts{i}"]
+            got[1] += r[f"borders{i}"]
+    return {name: Model({d: (a + 1) / (b + 2) for (n, d), (a, b) in sums.items() if n == name}, mass) for name, mass in masses.items()}
 
 
-def split_fields(fields: DataFrame, keys: Sequence[str], grammars: dict[str, Grammar], models: dict[str, Model], max_join: int = 4) -> DataFrame:
-    """One row per value: the ``keys``, ``value_pos`` and ``value``. ``fields`` has the keys, ``name`` and ``raw``."""
+@dataclass
+class Segmentation:
+    """What is learned of some columns: their models, and the fields whose likeliest reading is not the usual one.
+
+    ``odd`` (name, raw, separators) holds such fields, ``odd_hot`` those with a
+    share of ``_HOT`` of all rows, by (name, raw).
+    """
+
+    models: dict[str, Model] = field(default_factory=dict)
+    odd: DataFrame | None = None
+    odd_hot: dict[tuple[str, str], str] = field(default_factory=dict)
+
+
+def learn(fields: DataFrame, grammars: dict[str, Grammar], rounds: int = 2) -> Segmentation:
+    """EM over all distinct fields of the columns in ``fields`` (name, raw), then Viterbi for each.
+
+    ``rounds`` is the number of E- and M-steps before the decision.
+    """
+    distinct = fields.where(F.col("name").isin(list(grammars)) & F.col("raw").isNotNull()).groupBy("name", "raw").agg(F.count(F.lit(1)).alias("n_rows"))
+    distinct = stage(distinct.select(F.monotonically_increasing_id().alias("field_id"), "name", "raw", "n_rows"), "packed-distinct")
+    spelling = {n: Spelling(g.delimiters) for n, g in grammars.items()}
+    letters = spread(distinct.select("name", "raw")).mapInArrow(_letters, "name string, letter string, n bigint")
+    for r in letters.groupBy("name", "letter").agg(F.sum("n").alias("n")).collect():
+        spelling[r["name"]].shares[r["letter"]] = float(r["n"])
+    for s in spelling.values():
+        s.total = sum(s.shares.values())
+    begun = stage(spread(distinct).mapInArrow(_begin(grammars, spelling), _FIELD), "packed-lattices")
+    most = max(len(g.delimiters) for g in grammars.values())
+    # fields of one reading count alike in all rounds
+    closed = stage(_value_counts(begun.where("delimiters = ''")), "packed-single")
+    fixed = _separations(begun.where("delimiters = '' and sure <> ''"), 1)
+    now = begun.where("delimiters <> ''")
+    models: dict[str, Model] = {}
+    for step in range(rounds + 1):
+        counts = stage(closed.unionByName(_value_counts(now)).groupBy("name", "hash").agg(F.sum("n").alias("n"), F.sum("n_fields").alias("n_fields")), "packed-values")
+        masses = {r["name"]: (r["n"], r["k"]) for r in counts.groupBy("name").agg(F.sum("n").alias("n"), F.sum("n_fields").alias("k")).collect()}
+        models = _maximise([*fixed, *_separations(now, most)], {n: m for n, (m, _) in masses.items()})
+        # a value that recurs in few fields is looked up by a join, one that would make a join uneven goes with the code
+        floor = max(2.0, _HOT * sum(k for _, k in masses.values()))
+        hot = {r["hash"]: r["n"] for r in counts.where(F.col("n_fields") >= floor).select("hash", "n").collect()}
+        shared = counts.where((F.col("n_fields") > 1) & (F.col("n_fields") < floor)).select("hash", "n")
+        wanted = now.select("field_id", F.explode("hashes").alias("hash")).where(~F.col("hash").isin(list(hot)))
+        known = wanted.join(shared, "hash").groupBy("field_id").agg(F.collect_list(F.struct("hash", "n")).alias("known"))
+        decide = step == rounds
+        met = now.join(known, "field_id", "left").select(*now.columns, "known").mapInArrow(_expect(models, hot, decide), _DECISION if decide else _FIELD)
+        now = stage(met, "packed-readings")
+    n_rows = distinct.agg(F.sum("n_rows")).first()[0] or 0
+    heavy = F.col("n_rows") >= max(_HOT * n_rows, 1.0)
+    odd_hot = {(r["name"], r["raw"]): r["separators"] for r in now.where(heavy).collect()}
+    rest = now.where(~heavy).select("name", "raw", "separators")
+    return Segmentation(models, None if rest.isEmpty() else rest, odd_hot)
+
+
+def split_fields(fields: DataFrame, keys: Sequence[str], grammars: dict[str, Grammar], learned: Segmentation) -> DataFrame:
+    """One row per value: the ``keys``, ``value_pos`` and ``value``. ``fields`` has the keys, ``name`` and ``raw``.
+
+    Each field is read as Viterbi decided for it.
+    """
     cutters = {n: _cutter(g) for n, g in grammars.items()}
+    models, odd_hot = learned.models, learned.odd_hot
     schema = fields.select(*keys).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", value_pos int, value string"
+    rows = fields.select(*keys, "name", "raw").where(F.col("name").isin(list(grammars)) & F.col("raw").isNotNull())
+    rows = spread(rows) if learned.odd is None else rows.join(learned.odd, ["name", "raw"], "left")
+    rows = rows.select(*keys, "name", "raw", F.col("separators") if learned.odd is not None else F.lit(None).cast("string").alias("separators"))
+    nothing = Model()
+
+    def values(name: str, raw: str, separators: str | None) -> list[str]:
+        net = lattice(raw, grammars[name], cutters[name])
+        if separators is None:
+            separators = odd_hot.get((name, raw))
+        if separators is None:
+            separators = models.get(name, nothing).usual(net.open)
+        return [v for v in net.values(separators) if v and not (grammars[name].pairs and "=" not in v)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, at, values = [], [], []
-            n = batch.num_columns
-            for i, (name, raw) in enumerate(zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist(), strict=True)):
-                parts, marks = chunks(raw, cutters[name])
-                model = models.get(name)
-                if marks and model is not None and model.joined:
-                    parts = viterbi(parts, marks, model, max_join)
-                pos = 0
-                for p in parts:
-                    v = tidy(p)
-                    if v and not (grammars[name].pairs and "=" not in v):
-                        take.append(i)
-                        at.append(pos)
-                        values.append(v)
-                        pos += 1
+            n = len(keys)
+            names, raws, chosen = [batch.column(n + i).to_pylist() for i in range(3)]
+            met: dict[tuple, list[str]] = {}
+            take, at, out = [], [], []
+            for i, key in enumerate(zip(names, raws, chosen, strict=True)):
+                found = met.get(key)
+                if found is None:
+                    found = met[key] = values(*key)
+                take.extend([i] * len(found))
+                at.extend(range(len(found)))
+                out.extend(found)
             index = pa.array(take, pa.int64())
-            kept = [batch.column(k).take(index) for k in range(n - 2)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(at, pa.int32()), pa.array(values, pa.string())], names=[*keys, "value_pos", "value"])
+            kept = [batch.column(k).take(index) for k in range(n)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(at, pa.int32()), pa.array(out, pa.string())], names=[*keys, "value_pos", "value"])
 
-    return fields.select(*keys, "name", "raw").where(F.col("name").isin(list(grammars)) & F.col("raw").isNotNull()).mapInArrow(run, ddl)
+    return rows.mapInArrow(run, ddl)
 
 
 def _packed_of(headers: Column, names: Sequence[str]) -> Column:
@@ -333,4 +462,4 @@ def packed_headers(entries: DataFrame) -> DataFrame:
 def header_values(entries: DataFrame) -> DataFrame:
     """Every value packed in a header: entry_id, side, header_pos, value_pos, value."""
     fields = stage(packed_headers(entries), "packed-headers")
-    return split_fields(spread(fields), ["entry_id", "side", "header_pos"], GRAMMARS, {})
+    return split_fields(fields, ["entry_id", "side", "header_pos"], GRAMMARS, learn(fields, GRAMMARS))
