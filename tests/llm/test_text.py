@@ -154,6 +154,7 @@ def test_leaks_empty(spark):
 def test_leak_blocks_agree(spark):
     docs, items = (read_table(spark, f"{DATA}/sf0.01", t) for t in ("documents", "eval_items"))
     whole = sorted(tuple(r) for r in leaks.leaks(docs, items).collect())
+    assert len(list(leaks._blocks(items, 20_000))) > 2
     assert sorted(tuple(r) for r in leaks.leaks(docs, items, block_chars=20_000).collect()) == whole and len(whole) > 20
 
 
@@ -185,8 +186,31 @@ def test_leaks_against_brute_force():
 
 def test_spans_map_to_the_original():
     text = "Intro. <p>" + " ".join(WORDS) + "</p> end"
-    ((item, (a, b)),) = leaks.leaked_spans(text, leaks.build([(1, ITEM)], 12, 24)).items()
-    assert item == 1 and text[a:b] == " ".join(WORDS)
+    assert leaks.leaked_spans(text, leaks.build([(1, ITEM)], 12, 24)) == {1: [(text.index("the"), text.index("</p>"))]}
+
+
+def test_passages_apart_are_reported_apart(spark):
+    one, two = " ".join(WORDS[:13]), " ".join(WORDS[4:])
+    text = f"{one}. {'Clean text in between. ' * 40}{two}!"
+    docs = spark.createDataFrame([(7, text), (8, one + " " + two)], "doc_id bigint, text string").withColumn("passage_no", F.lit("clash"))
+    items = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    got = sorted(tuple(r) for r in leaks.leaks(docs, items).collect())
+    assert [(d, n, (text if d == 7 else one + " " + two)[a:b]) for d, _, n, a, b in got] == [(7, 0, one), (7, 1, two), (8, 0, one), (8, 1, two)]
+    assert sorted(tuple(r) for r in leaks.leaked_documents(docs, items).collect()) == [(7, 1), (8, 1)]
+
+
+def test_markup_of_any_length_is_skipped():
+    long = f'<a href="{"x" * 5_000}">'
+    assert leaks.leaked_spans(" ".join(WORDS[:6]) + f" {long}" + " ".join(WORDS[6:12]) + "</a>", leaks.build([(1, ITEM)], 12, 24)).keys() == {1}
+
+
+def test_one_automaton_per_process():
+    class Held:
+        value = [(1, ITEM)]
+
+    assert leaks.automaton_of("a", Held, 12, 24) is leaks.automaton_of("a", Held, 12, 24)
+    leaks.automaton_of("b", Held, 12, 24)
+    assert list(leaks._LAST) == ["b"]
 
 
 def test_fast_and_mapped_forms_agree():
@@ -211,6 +235,12 @@ CASES = [
     ("แคชส่งรหัส 404 กลับมาทุกครั้ง ทีมงานตรวจสอบแล้ว เปิดไฟล์ a-1.log แล้วค้นหา", ["แคชส่งรหัส 404 กลับมาทุกครั้ง", "ทีมงานตรวจสอบแล้ว", "เปิดไฟล์ a-1.log แล้วค้นหา"]),
     ("No space.The next one.Why?Because 9 s.Then /v1/{id}.All", ["No space.", "The next one.", "Why?", "Because 9 s.", "Then /v1/{id}.", "All"]),
     ("## Head\nA line\nwraps. Next\n\n  \nLast without mark\n\n- one. two\n- b\n\n1. x\n2. y. z\n\nAm\n3. Mai war es.", ["## Head", "A line\nwraps.", "Next", "Last without mark", "- one. two", "- b", "1. x", "2. y. z", "Am\n3. Mai war es."]),
+    ("This is modern art. It opened. She is my ex. He left for more cap. Then restart. Limit it to max. The run failed.", ["This is modern art.", "It opened.", "She is my ex.", "He left for more cap.", "Then restart.", "Limit it to max.", "The run failed."]),
+    ("Plan D. The team met J. K. Quill and Mr. Le Goff. See fig. 3 in vol. 2. The end.", ["Plan D.", "The team met J. K. Quill and Mr. Le Goff.", "See fig. 3 in vol. 2.", "The end."]),
+    ("Der Wert ist max. 30 Stück, vgl. Abb. 4. Wir setzen ihn auf max. Das gilt noch.", ["Der Wert ist max. 30 Stück, vgl. Abb. 4.", "Wir setzen ihn auf max.", "Das gilt noch."]),
+    ("Nous voyons M. Le Goff au chap. 3. Elle a lu l'art. 5 de la loi.\n\nHe saw the max. 5 people came.", ["Nous voyons M. Le Goff au chap. 3.", "Elle a lu l'art. 5 de la loi.", "He saw the max.", "5 people came."]),
+    (f"He said: \"{'It is a long speech, ' * 30}so it ends.\" Then he left. And she:{' ' * 60}\"Done.\" and went.", [f"He said: \"{'It is a long speech, ' * 30}so it ends.\"", "Then he left.", f"And she:{' ' * 60}\"Done.\" and went."]),
+    (f"One.{' ' * 90}Two.", ["One.", "Two."]),
     ("", []), (" \n\t ", []), ("...", ["..."]), ("One", ["One"]), ("A \"never closed. Still. Two", ["A \"never closed.", "Still.", "Two"]),
 ]
 

@@ -4,7 +4,8 @@ Every window of ``words`` consecutive words of an evaluation item (of
 ``letters`` letters for Chinese and Japanese) is a pattern, written without
 anything but letters and digits. Texts are written the same way and scanned
 once; the few that hit are scanned again with every character mapped to its
-place in the original, where a hit must begin and end with a whole word.
+place in the original, where a hit must begin and end with a whole word. Hits
+that overlap or touch are one passage; passages apart are reported apart.
 
 Defined results: null and empty texts and items hold nothing; an item shorter
 than a window cannot leak; items with equal windows are all reported; repeated
@@ -17,16 +18,18 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,2000}>|<!--.*?-->", re.DOTALL)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.DOTALL)
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _OTHER = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"\d+")
@@ -138,22 +141,29 @@ def build(items: list[tuple[int, str]], words: int, letters: int) -> ahocorasick
     return automaton
 
 
-def leaked_spans(text: str, automaton: ahocorasick.Automaton) -> dict[int, tuple[int, int]]:
-    """Items of which a window occurs in a text, with the span of the original that holds their windows."""
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def leaked_spans(text: str, automaton: ahocorasick.Automaton) -> dict[int, list[tuple[int, int]]]:
+    """Items of which a window occurs in a text, with the spans of the original that their windows cover."""
     flat = plain(text)
-    wanted = False
-    for _ in automaton.iter(flat):
-        wanted = True
-        break
+    wanted = next(iter(automaton.iter(flat)), None) is not None
     digits = not wanted and bool(_DIGITS.search(flat)) and bool(_HAN_KANA.search(flat))
     if not wanted and not (digits and next(iter(automaton.iter(_DIGITS.sub("", flat))), None)):
         return {}
-    found: dict[int, tuple[int, int]] = {}
+    found: dict[int, list[tuple[int, int]]] = {}
 
     def note(ids: tuple[int, ...], lo: int, hi: int) -> None:
         for i in ids:
-            a, b = found.get(i, (lo, hi))
-            found[i] = (min(a, lo), max(b, hi))
+            found.setdefault(i, []).append((lo, hi))
 
     stream, starts, ends, begins = mapped(text)
     for end, (length, lettered, ids) in automaton.iter(stream):
@@ -165,57 +175,82 @@ def leaked_spans(text: str, automaton: ahocorasick.Automaton) -> dict[int, tuple
         for end, (length, lettered, ids) in automaton.iter("".join(stream[k] for k in kept)):
             if lettered:
                 note(ids, starts[kept[end - length + 1]], ends[kept[end]])
-    return found
+    return {i: _joined(spans) for i, spans in found.items()}
+
+
+# the automaton this worker process built last, by the name of its block
+_LAST: dict[str, ahocorasick.Automaton | None] = {}
+
+
+def automaton_of(key: str, block: Broadcast, words: int, letters: int) -> ahocorasick.Automaton | None:
+    """The automaton of a block of items, built once per worker process; one is held at a time."""
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = build(block.value, words, letters)
+    return _LAST[key]
+
 
+def _scan(block: Broadcast, words: int, letters: int):
+    key = uuid.uuid4().hex
 
-def _scan(items: list[tuple[int, str]], words: int, letters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build(items, words, letters)
+        automaton = automaton_of(key, block, words, letters)
         for batch in batches:
-            docs, ids, lo, hi = [], [], [], []
+            docs, ids, numbers, lo, hi = [], [], [], [], []
             if automaton is not None:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for item, (a, b) in leaked_spans(text, automaton).items():
-                        docs.append(doc)
-                        ids.append(item)
-                        lo.append(a)
-                        hi.append(b)
+                    for item, spans in leaked_spans(text, automaton).items():
+                        for n, (a, b) in enumerate(spans):
+                            docs.append(doc)
+                            ids.append(item)
+                            numbers.append(n)
+                            lo.append(a)
+                            hi.append(b)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, batch.column(0).type), pa.array(ids, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())],
-                names=["doc_id", "item_id", "start_char", "end_char"],
+                [pa.array(docs, batch.column(0).type), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())],
+                names=["doc_id", "item_id", "passage_no", "start_char", "end_char"],
             )
 
     return run
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, words: int = 12, letters: int = 24, block_chars: int = 4_000_000) -> DataFrame:
-    """Leaked items per document with the span that holds them: doc_id, item_id, start_char, end_char.
-
-    The items go to the tasks in blocks of at most ``block_chars`` characters
-    (one item more at most), so an automaton has a size bound whatever the
-    number of items; each block is one scan of the documents.
-    """
-    rows = eval_items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    blocks: list[list[tuple[int, str]]] = [[]]
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most ``block_chars`` characters and one item more; a partition is on the driver at a time."""
+    block: list[tuple[int, str]] = []
     held = 0
-    for r in rows.orderBy("item_id").toLocalIterator():
+    for r in items.toLocalIterator():
         if held > block_chars:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["item_id"], r["text"]))
+            yield block
+            block, held = [], 0
+        block.append((r["item_id"], r["text"]))
         held += len(r["text"])
+    if block:
+        yield block
+
+
+def leaks(documents: DataFrame, eval_items: DataFrame, words: int = 12, letters: int = 24, block_chars: int = 400_000) -> DataFrame:
+    """Leaked passages per document and item: doc_id, item_id, passage_no, start_char, end_char.
+
+    The items go to the tasks in blocks of ``block_chars`` characters, so an
+    automaton has a size bound (about 0.2 GB) whatever the number of items. A
+    block passes through the driver alone, is broadcast, and becomes an
+    automaton once per worker process. Each block is one scan of the
+    documents.
+    """
+    spark = documents.sparkSession
+    rows = eval_items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     texts = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''"))
-    schema = f"doc_id {dict(texts.dtypes)['doc_id']}, item_id bigint, start_char bigint, end_char bigint"
-    parts = [texts.mapInArrow(_scan(b, words, letters), schema) for b in blocks]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    schema = f"doc_id {dict(texts.dtypes)['doc_id']}, item_id bigint, passage_no int, start_char bigint, end_char bigint"
+    out: DataFrame | None = None
+    for block in _blocks(rows, block_chars):
+        part = texts.mapInArrow(_scan(spark.sparkContext.broadcast(block), words, letters), schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def leaked_documents(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """doc_id and item_id of every leak."""
-    return leaks(documents, eval_items).select("doc_id", "item_id")
+    return leaks(documents, eval_items).where("passage_no = 0").select("doc_id", "item_id")
 
 
 def leak_report(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
