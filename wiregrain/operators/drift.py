@@ -69,7 +69,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fields = sorted(fields_of(body).items())
             out[0].append(cluster)
             out[1].append(file_no)
-            out[2].append(jsonkit.clean(jsonkit.canonical(body["id"])))
+            out[2].append(jsonkit.clean(jsonkit.canonical_text(body["id"])))
             out[3].append(jsonkit.clean(_NEXT.join(f"{tag}{path}" if tag > 9 else f"0{tag}{path}" for path, (tag, _) in fields)))
             out[4].append([jsonkit.value_hash(values) for _, (_, values) in fields])
         yield pa.RecordBatch.from_arrays(
@@ -209,13 +209,17 @@ def shown(path: Column) -> Column:
     return F.replace(F.replace(path, F.lit(_ITEM), F.lit("[]")), F.lit(_STEP), F.lit("."))
 
 
-def schema_changes(entries: DataFrame) -> DataFrame:
-    """Every change from a file of a cluster to its next: cluster_id, file_no, change, field_path, new_path."""
-    records = stage(shape_records(entries), "shape-records")
+def _compared(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes of paths and renames of staged ``shape_records``, both staged."""
     fields = stage(file_fields(records), "file-fields")
     order = file_order(fields)
     changes = stage(raw_changes(fields, order), "raw-changes")
-    pairs = stage(renames(records, changes, order), "renames")
+    return changes, stage(renames(records, changes, order), "renames")
+
+
+def schema_changes(entries: DataFrame) -> DataFrame:
+    """Every change from a file of a cluster to its next: cluster_id, file_no, change, field_path, new_path."""
+    changes, pairs = _compared(stage(shape_records(entries), "shape-records"))
     gone = pairs.select("cluster_id", "file_no", F.explode(F.array("field_path", "new_path")).alias("path"))
     rest = changes.join(gone, ["cluster_id", "file_no", "path"], "left_anti").select(
         "cluster_id",
@@ -255,48 +259,74 @@ def cluster_schemas(entries: DataFrame) -> DataFrame:
     )
 
 
+_UNIFIED = "cluster_id string, file_no int, rec_id string, field_path string, unified_path string, place int, type string, as_number double, as_boolean boolean, as_text string"
+_SALT = 16
+
+
+def first_name(path: str, file_no: int, renamed: list[tuple[int, str, str]]) -> str:
+    """The first name of a path of a file: renames (file, old path, new path) up to that file undone, the latest first."""
+    for at, old, new in sorted(renamed, reverse=True):
+        if at <= file_no and path.startswith(new) and path[len(new) : len(new) + 1] in ("", _STEP, _ITEM):
+            path = old + path[len(new) :]
+    return path
+
+
+def _number(value: int | float) -> float | None:
+    """A number as a double; none for one that is too large, whose digits are in the text."""
+    try:
+        return float(value)
+    except OverflowError:
+        return None
+
+
+def _unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _UNIFIED.split(", ")]
+    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.string()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    out: list[tuple] = []
+    held = 0
+    for batch in batches:
+        for cluster, file_no, raw, renamed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            try:
+                body = jsonkit.parse_bytes(raw)
+            except ValueError:
+                continue
+            if type(body) is not dict or "id" not in body:
+                continue
+            pairs = [(r["file_no"], r["field_path"], r["new_path"]) for r in renamed or ()]
+            rec = jsonkit.clean(jsonkit.canonical_text(body["id"]))
+            for path, (_, values) in fields_of(body).items():
+                here, first = (jsonkit.clean(p.replace(_ITEM, "[]").replace(_STEP, ".")) for p in (path, first_name(path, file_no, pairs) if pairs else path))
+                for i, v in enumerate(values):
+                    t = jsonkit.kind(v)
+                    text = v if t == "string" else None if v is None else jsonkit.canonical_text(v)
+                    out.append((cluster, file_no, rec, here, first, i, t, _number(v) if t == "number" else None, v if t == "boolean" else None, None if text is None else jsonkit.clean(text)))
+                    held += 100 + len(text or "")
+                    if held >= _FLUSH:
+                        yield made(out)
+                        out, held = [], 0
+    if out:
+        yield made(out)
+
+
 def unified_records(entries: DataFrame) -> DataFrame:
     """All usable bodies in one table: a row per value of a field with its type, typed branches and the canonical text.
 
     ``as_number`` and ``as_boolean`` hold the value where it has that type;
-    ``as_text`` holds every value, objects and arrays as JSON text. Array
-    elements that are not objects have no path of their own; they are in the
-    text of their array.
+    ``as_text`` holds every value without loss, objects and arrays as JSON
+    text and numbers with all digits (``as_number`` is empty for numbers that
+    no double holds). Array elements that are not objects have no path of
+    their own; they are in the text of their array. ``unified_path`` is the
+    field's first name: renames found between files are undone, also of the
+    objects and arrays around it, so a renamed field stays one column.
     """
-
-    names = ["cluster_id", "file_no", "rec_id", "field_path", "place", "type", "as_number", "as_boolean", "as_text"]
-    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.string()]
-
-    def made(out: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in names]
-        held = 0
-        for batch in batches:
-            for cluster, file_no, raw in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                try:
-                    body = jsonkit.parse_bytes(raw)
-                except ValueError:
-                    continue
-                if type(body) is not dict or "id" not in body:
-                    continue
-                rec = jsonkit.clean(jsonkit.canonical_text(body["id"]))
-                for path, (_, values) in fields_of(body).items():
-                    name = jsonkit.clean(path.replace(_ITEM, "[]").replace(_STEP, "."))
-                    for i, v in enumerate(values):
-                        t = jsonkit.kind(v)
-                        text = v if t == "string" else None if v is None else jsonkit.canonical_text(v)
-                        row = (cluster, file_no, rec, name, i, t, float(v) if t == "number" else None, v if t == "boolean" else None, text)
-                        for c, x in zip(out, row, strict=True):
-                            c.append(jsonkit.clean(x) if type(x) is str else x)
-                        held += 100 + len(text or "")
-                        if held >= _FLUSH:
-                            yield made(out)
-                            out, held = [[] for _ in names], 0
-        if out[0]:
-            yield made(out)
-
-    return usable_bodies(entries).mapInArrow(
-        run, "cluster_id string, file_no int, rec_id string, field_path string, place int, type string, as_number double, as_boolean boolean, as_text string"
-    )
+    bodies = usable_bodies(entries)
+    _, pairs = _compared(stage(shape_records(entries), "shape-records"))
+    # a cluster may hold most bodies: its renames meet them in as many places as there are salts
+    salted = pairs.groupBy("cluster_id").agg(F.collect_list(F.struct("file_no", "field_path", "new_path")).alias("renamed"))
+    salted = salted.select("cluster_id", "renamed", F.explode(F.array(*[F.lit(i) for i in range(_SALT)])).alias("_salt"))
+    met = bodies.withColumn("_salt", F.pmod(F.xxhash64("body"), F.lit(_SALT)).cast("int")).join(salted, ["cluster_id", "_salt"], "left")
+    return met.select("cluster_id", "file_no", "body", "renamed").mapInArrow(_unify, _UNIFIED)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonkit
-from ..sources.tables import latest_entries
+from ..sources.tables import latest_entries, spread
 
 RECORD_SCHEMA = (
     "record_id string, node_path string, parent_path string, group_path string, "
@@ -138,14 +138,14 @@ def pivot_group(records: DataFrame, group_path: str, members: Sequence[str]) ->
 
 GROUP_SCHEMA = (
     "record_id string, group_path string, parent_group string, node_path string, parent_path string, "
-    "ordinals array<int>, members array<struct<name:string,kind:string,value:string>>"
+    "ordinals array<int>, kind string, members array<struct<name:string,kind:string,value:string>>"
 )
 
 
 def _group_rows(binary: bool):
     member = pa.struct([("name", pa.string()), ("kind", pa.string()), ("value", pa.string())])
-    types = [pa.string()] * 5 + [pa.list_(pa.int32()), pa.list_(member)]
-    names = ["record_id", "group_path", "parent_group", "node_path", "parent_path", "ordinals", "members"]
+    types = [pa.string()] * 5 + [pa.list_(pa.int32()), pa.string(), pa.list_(member)]
+    names = ["record_id", "group_path", "parent_group", "node_path", "parent_path", "ordinals", "kind", "members"]
 
     def made(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
@@ -174,7 +174,7 @@ def _group_rows(binary: bool):
                     above = objects[owner][0] if path and owner in objects else ""
                     if kind == "object":
                         objects[path] = (group, members)
-                    out.append([rid, *map(jsonkit.clean, (group, above, path, owner)), places, members])
+                    out.append([rid, *map(jsonkit.clean, (group, above, path, owner)), places, kind, members])
                 if len(out) >= _FLUSH:
                     yield made(out)
                     out = []
@@ -187,6 +187,9 @@ def _group_rows(binary: bool):
 def group_rows(df: DataFrame, record_id: Column, text: Column) -> DataFrame:
     """Every group of the documents in ``text`` pivoted: a row per object with its scalar members.
 
+    The path-value-ordinal records of a document are grouped by their
+    repeated ancestor, and each group is pivoted: one row per object, its
+    members as columns of that row. ``kind`` is the kind of the row's node.
     Array elements that are not objects are rows of the group of their array,
     with one member ``*``. Arrays are members of kind ``array`` without value.
     """
@@ -195,7 +198,11 @@ def group_rows(df: DataFrame, record_id: Column, text: Column) -> DataFrame:
 
 
 def capture_groups(entries: DataFrame, operations: DataFrame, hellos: DataFrame) -> DataFrame:
-    """``group_rows`` of response bodies, operation variables and ClientHello extensions, with ``source``."""
+    """``group_rows`` of response bodies, operation variables and ClientHello extensions, with ``source``.
+
+    Operations and ClientHellos come more than once; their rows are made
+    distinct after parsing, so no JSON text is shuffled.
+    """
     found = {
         source: group_rows(df, F.col("record_id"), F.col("text")).select(F.lit(source).alias("source"), "*")
         for source, df in capture_sources(entries, operations, hellos).items()
@@ -214,13 +221,13 @@ def capture_tables(entries: DataFrame, operations: DataFrame, hellos: DataFrame)
 
 
 def capture_sources(entries: DataFrame, operations: DataFrame, hellos: DataFrame) -> dict[str, DataFrame]:
-    """The three nested sources of a capture as (record_id, text), each record once."""
+    """The three nested sources of a capture as (record_id, text); each body once, the others as often as they come."""
     bodies = latest_entries(entries, {"text": F.expr("try_to_binary(response.body, 'base64')")}).select(
         F.col("entry_id").alias("record_id"), "text"
     )
-    variables = operations.select(F.col("op_id").alias("record_id"), F.col("variables").alias("text")).where("text is not null").distinct()
-    extensions = hellos.select(F.col("connection_id").alias("record_id"), F.col("extensions").alias("text")).where("text is not null").distinct()
-    return {"body": bodies, "variables": variables, "extensions": extensions}
+    variables = operations.select(F.col("op_id").alias("record_id"), F.col("variables").alias("text")).where("text is not null")
+    extensions = hellos.select(F.col("connection_id").alias("record_id"), F.col("extensions").alias("text")).where("text is not null")
+    return {"body": bodies, "variables": spread(variables), "extensions": spread(extensions)}
 
 
 def capture_records(entries: DataFrame, operations: DataFrame, hellos: DataFrame, kinds: Sequence[str] | None = None) -> DataFrame:
@@ -233,7 +240,14 @@ def capture_records(entries: DataFrame, operations: DataFrame, hellos: DataFrame
 
 
 def object_nodes(entries: DataFrame, operations: DataFrame, hellos: DataFrame) -> DataFrame:
-    """Every object below a root: source, record_id, node_path, parent_path."""
-    nodes = capture_records(entries, operations, hellos, ("object",)).where("node_path <> ''").select("source", "record_id", "node_path", "parent_path")
-    bodies = nodes.where("source = 'body'")
-    return bodies.unionByName(nodes.where("source <> 'body'").distinct())
+    """Every object below a root: source, record_id, node_path, parent_path.
+
+    These are the rows of all group tables, with their keys and the link to
+    the parent's row.
+    """
+    found = {source: group_rows(df, F.col("record_id"), F.col("text")) for source, df in capture_sources(entries, operations, hellos).items()}
+    keys = {
+        source: rows.where("kind = 'object' and node_path <> ''").select(F.lit(source).alias("source"), "record_id", "node_path", "parent_path")
+        for source, rows in found.items()
+    }
+    return keys["body"].unionByName(keys["variables"].unionByName(keys["extensions"]).distinct())

@@ -15,13 +15,14 @@ advance, neither for a column nor for one of its fields, and is learned:
   the probability of their characters.
 * *Viterbi* takes the likeliest reading of each field.
 
-Two values that often stand together do not become one: the run that joins
-them competes with two values that are each at least as frequent. The model of
-values is a table that is joined, not held; only delimiter shares, character
+Where a grammar says that bare values hold no delimiter (``bare=False``, as for
+lists whose writers quote such values), a run of several chunks gains nothing
+by recurring, so two values that often stand together never become one. The
+model of values is a table that is joined, not held; only delimiter shares, character
 shares and values so frequent that their number is bounded
 (``_HOT`` per learning round) reach the driver.
 
-A grammar may restrict readings: ``pairs`` drops chunks without ``=``,
+A grammar may further restrict readings: ``pairs`` drops chunks without ``=``,
 ``starts`` joins a chunk that cannot begin a value to the one before.
 
 Defined results: null and empty fields give no rows; empty values are skipped
@@ -58,17 +59,21 @@ _KNOWN = 0.5
 
 @dataclass(frozen=True)
 class Grammar:
-    """How one column may pack its values: candidate delimiters, and what a value must look like."""
+    """How one column may pack its values: candidate delimiters, and what a value must look like.
+
+    ``bare``: a value that holds a delimiter may stand without quotes.
+    """
 
     delimiters: str
+    bare: bool = True
     pairs: bool = False
     starts: str = ""
 
 
-_LIST = Grammar(",;|\t")
+_LIST = Grammar(",;|\t", bare=False)
 #: packed headers by side and lower-case name
-REQUEST_HEADERS = {"cookie": Grammar(";", pairs=True), "x-feature-tags": _LIST, "x-forwarded-for": _LIST}
-RESPONSE_HEADERS = {"link": Grammar(",;", starts="<"), "x-cache-tags": _LIST, "vary": _LIST}
+REQUEST_HEADERS = {"cookie": Grammar(";", bare=False, pairs=True), "x-feature-tags": _LIST, "x-forwarded-for": _LIST}
+RESPONSE_HEADERS = {"link": Grammar(",;", bare=False, starts="<"), "x-cache-tags": _LIST, "vary": _LIST}
 GRAMMARS = REQUEST_HEADERS | RESPONSE_HEADERS
 
 
@@ -153,6 +158,9 @@ def readings(delimiters: str) -> list[str]:
     return sorted(sets, key=lambda s: (len(s), s))
 
 
+_NO_VALUE = 0  # stands for runs that are not counted
+
+
 def _hash(name: str, value: str) -> int:
     h = xxhash.xxh64_intdigest(f"{name}\x1f{value}".encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >= 1 << 63 else h
@@ -278,7 +286,7 @@ def _begin(grammars: dict[str, Grammar], spelling: dict[str, Spelling]):
                 paths = [[at.setdefault(v, len(at)) for v in net.runs(r)] for r in readings(ds)]
                 alike = [1 / len(paths)] * len(paths)
                 rows.append(
-                    (fid, name, raw, n_rows, ds, "".join(sorted(net.sure)), borders, _separated(ds, borders, alike), [_hash(name, v) for v, _ in at], [spelling[name].log(*v) for v in at], paths, _held(paths, len(at), alike))
+                    (fid, name, raw, n_rows, ds, "".join(sorted(net.sure)), borders, _separated(ds, borders, alike), [_hash(name, v) if n == 1 or grammars[name].bare else _NO_VALUE for v, n in at], [spelling[name].log(*v) for v in at], paths, _held(paths, len(at), alike))
                 )
             yield _batch(rows, _FIELD)
 
@@ -311,7 +319,7 @@ def _expect(models: dict[str, Model], hot: dict[int, float], decide: bool):
 def _value_counts(fields: DataFrame) -> DataFrame:
     """In how many fields each run is a value (expected), and in how many it is one in some reading."""
     each = fields.select("name", F.explode(F.arrays_zip("hashes", "own")).alias("v"))
-    return each.groupBy("name", F.col("v.hashes").alias("hash")).agg(F.sum("v.own").alias("n"), F.count(F.lit(1)).alias("n_fields"))
+    return each.where(F.col("v.hashes") != _NO_VALUE).groupBy("name", F.col("v.hashes").alias("hash")).agg(F.sum("v.own").alias("n"), F.count(F.lit(1)).alias("n_fields"))
 
 
 def _separations(fields: DataFrame, most: int) -> list:
@@ -367,21 +375,24 @@ def learn(fields: DataFrame, grammars: dict[str, Grammar], rounds: int = 2) -> S
     closed = stage(_value_counts(begun.where("delimiters = ''")), "packed-single")
     fixed = _separations(begun.where("delimiters = '' and sure <> ''"), 1)
     now = begun.where("delimiters <> ''")
+    n_rows, n_runs = begun.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()
+    # a value that recurs in few fields is looked up by a join, one that would make a join uneven goes with the code
+    floor = max(2.0, _HOT * n_runs)
     models: dict[str, Model] = {}
     for step in range(rounds + 1):
         counts = stage(closed.unionByName(_value_counts(now)).groupBy("name", "hash").agg(F.sum("n").alias("n"), F.sum("n_fields").alias("n_fields")), "packed-values")
-        masses = {r["name"]: (r["n"], r["k"]) for r in counts.groupBy("name").agg(F.sum("n").alias("n"), F.sum("n_fields").alias("k")).collect()}
-        models = _maximise([*fixed, *_separations(now, most)], {n: m for n, (m, _) in masses.items()})
-        # a value that recurs in few fields is looked up by a join, one that would make a join uneven goes with the code
-        floor = max(2.0, _HOT * sum(k for _, k in masses.values()))
-        hot = {r["hash"]: r["n"] for r in counts.where(F.col("n_fields") >= floor).select("hash", "n").collect()}
+        sums = counts.groupBy("name", F.when(F.col("n_fields") >= floor, F.col("hash")).alias("hot")).agg(F.sum("n").alias("n")).collect()
+        hot = {r["hot"]: r["n"] for r in sums if r["hot"] is not None}
+        masses: dict[str, float] = {}
+        for r in sums:
+            masses[r["name"]] = masses.get(r["name"], 0.0) + r["n"]
+        models = _maximise([*fixed, *_separations(now, most)], masses)
         shared = counts.where((F.col("n_fields") > 1) & (F.col("n_fields") < floor)).select("hash", "n")
-        wanted = now.select("field_id", F.explode("hashes").alias("hash")).where(~F.col("hash").isin(list(hot)))
+        wanted = now.select("field_id", F.explode("hashes").alias("hash")).where(f"hash not in ({', '.join(str(h) + 'L' for h in (_NO_VALUE, *hot))})")
         known = wanted.join(shared, "hash").groupBy("field_id").agg(F.collect_list(F.struct("hash", "n")).alias("known"))
         decide = step == rounds
         met = now.join(known, "field_id", "left").select(*now.columns, "known").mapInArrow(_expect(models, hot, decide), _DECISION if decide else _FIELD)
         now = stage(met, "packed-readings")
-    n_rows = distinct.agg(F.sum("n_rows")).first()[0] or 0
     heavy = F.col("n_rows") >= max(_HOT * n_rows, 1.0)
     odd_hot = {(r["name"], r["raw"]): r["separators"] for r in now.where(heavy).collect()}
     rest = now.where(~heavy).select("name", "raw", "separators")

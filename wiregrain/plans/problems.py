@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import drift, nested, packed, skew
 from ..sources.tables import read_table, ship_package
@@ -29,8 +30,8 @@ _NESTED = ("entries", "graphql_operations", "tls_client_hellos")
 
 
 def _nested_tables(*tables: DataFrame) -> DataFrame:
-    records = nested.capture_records(*tables)
-    return nested.group_tables(records.where("source = 'extensions'"))
+    hellos = tables[2].select("connection_id", "extensions").distinct()
+    return nested.group_tables(nested.nested_records(hellos, F.col("connection_id"), F.col("extensions")))
 
 
 def _key_shares(*tables: DataFrame) -> DataFrame:
@@ -70,7 +71,42 @@ _LATEST = """latest as (
   from clusters group by all
 )"""
 
+_SPAN = r'''"(?:[^"\\]|\\.|"")*"|<[^<>]*>'''
+
+_PACKED = rf"""with latest as (
+  select entry_id, request.headers as q, response.headers as r from entries where entry_id is not null qualify row_number() over (partition by entry_id order by ingested_at desc) = 1
+), placed as (
+  select entry_id, 'request' as side, unnest(range(1, len(q) + 1)) as i, q as h from latest union all select entry_id, 'response', unnest(range(1, len(r) + 1)), r from latest
+), packed as (
+  select entry_id, side, cast(i - 1 as integer) as header_pos, lower(h[i][1]) as name, h[i][2] as raw from placed
+), parts as (
+  select entry_id, side, header_pos, name, case name when 'cookie' then regexp_extract_all(raw, '(?s)(?:{_SPAN}|[^;])+') when 'link' then regexp_extract_all(raw, '(?s)(?:{_SPAN}|[^,])+') else regexp_extract_all(raw, '(?s)(?:{_SPAN}|[^,;|\t])+') end as found
+  from packed where (side = 'request' and name in ('cookie', 'x-feature-tags', 'x-forwarded-for')) or (side = 'response' and name in ('link', 'x-cache-tags', 'vary'))
+), tidy as (
+  select entry_id, side, header_pos, list_filter(list_transform(list_transform(found, lambda v: regexp_replace(v, '(?s)^\s+|\s+$', '', 'g')), lambda v:
+    case when regexp_full_match(v, '(?s)"(?:[^"\\]|\\.|"")*"') then regexp_replace(substr(v, 2, len(v) - 2), '(?s)\\(.)|"(")', '\1\2', 'g') else v end), lambda v: v <> '' and (name <> 'cookie' or contains(v, '='))) as vs
+  from parts
+)
+select entry_id, side, header_pos, cast(k - 1 as integer) as value_pos, vs[k] as value from (select *, unnest(range(1, len(vs) + 1)) as k from tidy)"""
+
+_UNFOLD = "case when json_type({0}) = 'VARCHAR' and regexp_matches({0}->>'$', '^[ \\t\\n\\r]*[{{\\[]') and json_valid({0}->>'$') then json({0}->>'$') else {0} end"
+
+_OBJECTS = rf"""with recursive texts as (
+  select 'body' as source, entry_id as record_id, try(decode(from_base64(response.body))) as t from (
+    select * from entries where entry_id is not null qualify row_number() over (partition by entry_id order by ingested_at desc) = 1)
+  union select 'variables', op_id, variables from graphql_operations where op_id is not null
+  union select 'extensions', connection_id, extensions from tls_client_hellos where connection_id is not null
+), nodes as (
+  select source, record_id, '' as ptr, '' as owner, {_UNFOLD.format("json(t)")} as v from (select * from texts where t is not null and json_valid(t))
+  union all
+  select source, record_id, ptr || '/' || replace(replace(key, '~', '~0'), '/', '~1'), case when json_type(v) = 'OBJECT' then ptr else owner end, {_UNFOLD.format("child")}
+  from (select n.*, e.key, e.value as child from nodes n, json_each(n.v) e where json_type(n.v) in ('OBJECT', 'ARRAY'))
+)
+select distinct source, record_id, ptr as node_path, owner as parent_path from nodes where json_type(v) = 'OBJECT' and ptr <> ''"""
+
 ORACLES: dict[str, str] = {
+    "p3_found": _PACKED,
+    "p5_found": _OBJECTS,
     "p4_found": f"""with {_LATEST}
 select distinct cluster_id from stated left join counts using (session_id, host, method, path_template)
 where least <> coalesce(n_entries, 0) or most <> coalesce(n_entries, 0)""",
