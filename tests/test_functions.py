@@ -127,8 +127,8 @@ def test_jq_rejects(expression):
 
 
 def test_jq_runtime_errors():
-    assert jq.run_jq(jq.compile_jq(".[] | .a"), [{"a": 1}, 3]) == ([1], ['cannot index number with "a" (field not found or wrong type)'])
-    assert "may not exist" in jq.run_jq(jq.compile_jq(".a[]"), {})[1][0]
+    assert jq.run_jq(jq.compile_jq(".[] | .a"), [{"a": 1}, 3]) == ([1], ['cannot index number with "a" (no such member, or a value of another type)'])
+    assert "nothing stands" in jq.run_jq(jq.compile_jq(".a[]"), {})[1][0]
 
 
 HTML = '<h1 class="title">A</h1><div class="content"><span>x</span><p>p1<p>p2</div><h1 class="title big">B</h1><script>var t="</p>"</script><ul><li>1<li>2</ul>'

@@ -107,7 +107,7 @@ class Engine:
         if not rows:
             raise not_found("session", "active")
         listed = ", ".join(f"{r['session_id']} ({r['name']})" if r["name"] else r["session_id"] for r in rows)
-        raise invalid(f"no active session and multiple sessions available; specify session_id: {listed}")
+        raise invalid(f"several sessions are open, name one of them: {listed}")
 
     def search_entries(self, query: str = "", filters: search.Filters | None = None, limit: int = 0, offset: int = 0, include_details: bool = False) -> DataFrame:
         """Ranked entries; without details the connection, size and process columns are left out."""
@@ -192,7 +192,7 @@ class Engine:
     def members(self, cluster_id: str = "", entry_ids: Sequence[str] = (), most: int = 0) -> list[str]:
         """At most ``max_query_entries`` ids of a cluster, or the given ones, in order."""
         if not cluster_id and not entry_ids:
-            raise invalid("either cluster_id or entry_ids is required")
+            raise invalid("name a cluster or entries")
         most = min(most or self.config.default_query_limit, self.config.max_query_entries)
         if not cluster_id:
             return list(entry_ids)[:most]

@@ -1332,10 +1332,9 @@ def compile_jq(expression: str) -> Node:
     return node
 
 
-# What is added to messages of common run-time errors.
 _HINTS = (
-    ("cannot iterate over: null", " (the path may not exist in this response)"),
-    ("cannot index", " (field not found or wrong type)"),
+    ("cannot iterate over: null", " (nothing stands at this path)"),
+    ("cannot index", " (no such member, or a value of another type)"),
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def search(total: int, shown: int, offset: int = 0) -> str:
     if not total:
-        return "No entries match. Drop a filter or shorten the query."
+        return "Nothing found. Ask for less: fewer filters, fewer words."
     if offset + shown < total:
         return f"{total - offset - shown} more entries; continue with offset={offset + shown}."
     return ""
@@ -13,36 +13,37 @@ def search(total: int, shown: int, offset: int = 0) -> str:
 
 def endpoints(total: int, shown: int, categories: dict[str, int], graphql: int = 0) -> str:
     if not total:
-        return "No endpoints in this scope."
+        return "The scope holds no endpoint."
     parts = [f"{n} {c}" for c, n in sorted(categories.items(), key=lambda x: (-x[1], x[0]))]
     out = [f"{total} endpoints: {', '.join(parts)}."] if parts else []
     if shown < total:
-        out.append(f"Showing {shown}; use limit and offset for the rest.")
+        out.append(f"{shown} are listed; limit and offset give the others.")
     if graphql:
         out.append(f"{graphql} endpoints carry GraphQL; see survey_graphql().")
     return " ".join(out)
 
 
 _TRY = {
-    "jq": "Try '.', 'keys', or '.data.items[]' to explore the structure.",
-    "css": "Try '*' to match all elements, or check the selector.",
-    "xpath": "Try '//*' to match all elements, or check the expression.",
+    "jq": "The expression '.' shows a whole body.",
+    "css": "The selector '*' shows every element.",
+    "xpath": "The path '//*' shows every element.",
 }
 
 
 def query(values: int, processed: int, mode: str = "", errors: int = 0, truncated: bool = False) -> str:
     out = []
     if not values and processed:
-        out.append("No values extracted." + (f" Mode: {mode}." if mode else "") + " " + _TRY.get(mode, "Try a broader expression, or set the mode."))
+        used = f" (read as {mode})" if mode else ""
+        out.append(f"{processed} bodies, none with a value{used}. {_TRY.get(mode, 'Name the mode if the wrong one was chosen.')}")
     if truncated:
-        out.append("The limit of values or entries was reached; narrow the entries or raise it.")
+        out.append("There is more than the limit lets through; raise it or name fewer entries.")
     if errors and values:
-        out.append(f"Partial results: {errors} bodies had errors.")
+        out.append(f"{errors} bodies failed, so values of them are missing.")
     return " ".join(out)
 
 
 def graphql(failing: list[str], first: str = "") -> str:
-    out = [f"Operations with errors: {', '.join(failing)}; inspect their section 'errors'."] if failing else []
+    out = [f"Failing operations: {', '.join(failing)} (section 'errors')."] if failing else []
     if first:
-        out.append(f"Use inspect_graphql_operation({first!r}) for schema and fields.")
+        out.append(f"inspect_graphql_operation({first!r}) tells more.")
     return " ".join(out)

@@ -58,11 +58,11 @@ def _run(expression: str, mode: str, most: int):
 
             for entry, target, kind, has, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if not has:
-                    put(entry, target, None, "skipped", None, "no body")
+                    put(entry, target, None, "skipped", None, "empty")
                 elif body is None:
-                    put(entry, target, None, "skipped", None, "failed to decode body")
+                    put(entry, target, None, "skipped", None, "not base64")
                 elif bodies.is_binary(kind, body):
-                    put(entry, target, None, "skipped", None, f"binary content type: {kind}")
+                    put(entry, target, None, "skipped", None, f"binary: {kind}")
                 else:
                     try:
                         used, values, errors = extract(body, kind)

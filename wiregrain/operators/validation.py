@@ -28,7 +28,7 @@ def validate_bodies(entries: DataFrame, schema_text: str, notation: str, target:
             for _, _, kind, has, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if not has or body is None or "json" not in kind.lower():
                     status.append("skipped")
-                    errors.append(["no body" if not has else "failed to decode body" if body is None else f"not JSON: {kind}"])
+                    errors.append(["empty" if not has else "not base64" if body is None else f"not JSON: {kind}"])
                     continue
                 found = validate(body.decode("utf-8", "replace"), schema)
                 status.append("failed" if found else "matching")
