@@ -49,6 +49,21 @@ def test_term_counts(spark, burst, most):
     assert terms.term_counts(rows.limit(0), burst, most).count() == 0
 
 
+def test_vocabularies_without_common_prefixes_are_split(spark):
+    """Five thousand first characters: no route, so the terms are dealt into buckets."""
+    made = [(chr(0x4E00 + i % 5_000) + "語彙記録"[: i % 4], f"r{i % 7}") for i in range(20_000)]
+    rows = spark.createDataFrame(made, "term string, record string").withColumn("field", F.lit("f")).withColumn("bucket", F.lit("clash"))
+    want = Counter(t for t, _ in made)
+    got = {r["term"]: r["occurrences"] for r in terms.term_counts(rows).collect()}
+    assert got == dict(want)
+    sizes = terms.buckets_of({("f", ""): 20_000, ("f", "ab"): 9_000, ("f", "abc"): 8_500, ("g", ""): 10}, 1_000)
+    assert sizes == {("f", ""): 11, ("f", "ab"): 1, ("f", "abc"): 9, ("g", ""): 1}
+    route = terms._reroute({("f", ""): 16}, 0)
+    box = terms._batch([("f", "", 0, [t for t in want], [1] * len(want), [1] * len(want))])
+    parts = [len(s) for b in route([box]) for s in b.column(3).to_pylist()]
+    assert len(parts) == 16 and max(parts) < 2 * len(want) / 16 and sum(parts) == len(want)
+
+
 def test_marks(spark):
     schema_h, schema_c = "cluster_id string, name string, frequency double", "cluster_id string, host string, path_template string"
     h = spark.createDataFrame([(f"c{i}", " Accept" if i % 2 else "accept", 1.0) for i in range(100)] + [("c1", "x-rare", None), ("c2", "X-Rare ", None), ("c1", "x-rare", None), (None, "x-null", 1.0), *[(f"c{i}", "x-mid", 1.0) for i in range(3)], *[(f"c{i}", "x-four", 1.0) for i in range(4)]], schema_h)

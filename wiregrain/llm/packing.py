@@ -19,6 +19,7 @@ to the larger one, within a type to the smaller id.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -111,8 +112,8 @@ def _pack_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.drop(columns=["shard"])
 
 
-def _dealt(rows: DataFrame, salt: str, shard_items: int) -> tuple[DataFrame, int]:
-    """``rows`` with a shard, as many per kind as keep shards near ``shard_items``; and the most shards of a kind."""
+def _dealt(rows: DataFrame, salt: str, shard_items: int) -> tuple[DataFrame, int, int]:
+    """``rows`` with a shard, as many per kind as keep shards near ``shard_items``; the most shards of a kind, and the rows."""
     sizes = {r["container_kind"]: r["n"] for r in rows.groupBy("container_kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = {k: max(1, math.ceil(n / shard_items)) for k, n in sizes.items()}
     shards = F.lit(1)
@@ -122,23 +123,26 @@ def _dealt(rows: DataFrame, salt: str, shard_items: int) -> tuple[DataFrame, int
     # a shard is much work for few bytes, so tasks are counted here and not merged by size
     tasks = min(max(1, sum(counts.values())), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
     dealt = rows.withColumn("shard", F.concat(F.lit(salt), F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(salt)), shards).cast("string")))
-    return dealt.repartition(tasks, "container_kind", "shard"), max(counts.values(), default=1)
+    return dealt.repartition(tasks, "container_kind", "shard"), max(counts.values(), default=1), sum(sizes.values())
 
 
-def pack(cut: DataFrame, shard_items: int = SHARD_ITEMS, well_filled: float = 0.98, rounds: int = 4) -> DataFrame:
+def pack(cut: DataFrame, shard_items: int = SHARD_ITEMS, well_filled: float = 0.98) -> DataFrame:
     """Containers of the pieces ``cut``: container_kind, container_id, doc_id, piece_no, n_pieces, tokens, loss.
 
     What lies in containers filled below ``well_filled`` is dealt and packed
-    again, until one shard holds it all or ``rounds`` are over.
+    again, until one shard holds it all, or a round has left more than half of
+    what it was dealt: then the items themselves do not fill containers.
     """
     whole = cut.where("tokens = most_tokens").select("*", F.concat_ws("-", F.lit("f"), "doc_id", "piece_no").alias("bin"), F.lit(1.0).alias("fill"))
     done, left = whole, cut.where("tokens < most_tokens")
-    for salt in "abcdefgh"[:rounds]:
-        dealt, shards = _dealt(left, salt, shard_items)
+    before: int | None = None
+    for step in itertools.count():
+        dealt, shards, n = _dealt(left, f"r{step}-", shard_items)
         packed = stage(dealt.groupBy("container_kind", "shard").applyInPandas(_pack_shard, _PACKED), "packed")
-        if shards == 1 or salt == "abcdefgh"[rounds - 1]:
+        if shards == 1 or (before is not None and 2 * n > before):
             done = done.unionByName(packed)
             break
+        before = n
         done = done.unionByName(packed.where(F.col("fill") >= well_filled))
         left = packed.where(F.col("fill") < well_filled).drop("bin", "fill")
     return done.select("container_kind", F.col("bin").alias("container_id"), "doc_id", "piece_no", "n_pieces", "tokens", "loss")
@@ -181,3 +185,40 @@ def packing_summary(documents: DataFrame, container_kinds: DataFrame) -> DataFra
     packed = document_packing(documents, container_kinds)
     sizes = packed.groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("segments"))
     return sizes.groupBy("container_kind").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("tokens").alias("n_tokens"), F.sum("segments").alias("n_pieces"), F.max("tokens").alias("fullest"))
+
+
+def _invariants(packed: DataFrame, items: DataFrame, kinds: list[tuple[str, int, int, int]], slack: float) -> DataFrame:
+    """What holds of every right packing, per kind: items and tokens in it, containers over a limit, items not whole, and whether the containers are few.
+
+    Few: at most ``slack`` times the least number that the sums of tokens,
+    segments and loss-bearing tokens allow, and one more.
+    """
+    limit = {k: F.create_map(*[F.lit(x) for kind in kinds for x in (kind[0], kind[i])]) for i, k in ((1, "tokens"), (2, "segments"), (3, "loss"))}
+    kind = F.col("container_kind")
+    bins = packed.groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("segments"), F.sum("loss").alias("loss"))
+    over = F.lit(False)
+    for name, m in limit.items():
+        over = over | (F.col(name) > m[kind])
+    sums = bins.groupBy("container_kind").agg(
+        F.count(F.lit(1)).alias("n_containers"), F.count_if(over).alias("n_overfull"), *[F.sum(name).alias(name) for name in limit]
+    )
+    docs = packed.groupBy("container_kind", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.max("n_pieces").alias("n_pieces"), F.countDistinct("piece_no").alias("n_numbers"))
+    met = docs.join(items.select("doc_id", F.col("tokens").alias("size")), "doc_id", "left")
+    broken = ~F.col("size").eqNullSafe(F.col("tokens")) | (F.col("n") != F.col("n_pieces")) | (F.col("n_numbers") != F.col("n"))
+    whole = met.groupBy("container_kind").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(broken).alias("n_broken"))
+    least = F.greatest(*[F.ceil(F.col(name) / m[kind]) for name, m in limit.items()])
+    return sums.join(whole, "container_kind").select(
+        "container_kind", "n_docs", F.col("tokens").alias("n_tokens"), F.col("segments").alias("n_pieces"), "n_overfull", "n_broken", (F.col("n_containers") <= least * slack + 1).alias("few")
+    )
+
+
+def packing_invariants(documents: DataFrame, container_kinds: DataFrame, slack: float = 1.01) -> DataFrame:
+    """Invariants of ``document_packing``: at most one container in a hundred more than the tokens need."""
+    items, kinds = document_items(documents), _kinds(container_kinds)
+    return _invariants(stage(document_packing(documents, container_kinds), "packing"), items, kinds, slack)
+
+
+def instruction_invariants(documents: DataFrame, container_kinds: DataFrame, slack: float = 1.1) -> DataFrame:
+    """Invariants of ``instruction_packing`` under its three limits."""
+    items, kinds = document_items(documents), _kinds(container_kinds, 12, 0.875)
+    return _invariants(stage(instruction_packing(documents, container_kinds), "packing"), items, kinds, slack)

@@ -28,6 +28,8 @@ def queries() -> dict[str, Query]:
         "p6_packing": _on(packing.document_packing, "documents", "container_kinds"),
         "p6_packing_summary": _on(packing.packing_summary, "documents", "container_kinds"),
         "p6_instruction_packing": _on(packing.instruction_packing, "documents", "container_kinds"),
+        "p6_invariants": _on(packing.packing_invariants, "documents", "container_kinds"),
+        "p6_instruction_invariants": _on(packing.instruction_invariants, "documents", "container_kinds"),
         "p7_found": _on(leaks.leaked_documents, "documents", "eval_items"),
         "p7_spans": _on(leaks.leaks, "documents", "eval_items"),
         "p7_report": _on(leaks.leak_report, "documents", "eval_items"),
@@ -52,8 +54,13 @@ _TERMS = """with rows as (
 )"""
 
 
+_WHOLE = """select container_kind, count(*) as n_docs, cast(sum(n) as bigint) as n_tokens, cast(sum({pieces}) as bigint) as n_pieces, 0 as n_overfull, 0 as n_broken, true as few
+from (select strlen(text) as n, strlen(regexp_replace(text, '\\s+', '', 'g')) as loss from documents where text <> ''), container_kinds where capacity_tokens > 0 group by container_kind"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_invariants": _WHOLE.format(pieces="ceil(n / capacity_tokens)"),
         "p2_found": f"{_TERMS} select field, term, mark from marked where mark <> 'useful'",
         "p2_term_counts": f"{_TERMS} select field, term, occurrences, records, mark from marked",
         "p6_found": """select container_kind, doc_id, cast(unnest(range(cast(ceil(strlen(text) / capacity_tokens) as bigint))) as integer) as piece_no

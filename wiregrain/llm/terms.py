@@ -6,7 +6,10 @@ container per next character, so prefixes are as long as the data require.
 Each task counts into tries of its own, in which a term is one entry however
 often it occurs, and emits their containers. The prefixes that hold many terms
 in all tries together are the routes; containers are cut at the routes,
-shuffled by (field, route), and matching subtrees are merged.
+shuffled by route, and matching subtrees are merged. Where a route keeps many
+terms that no longer route takes (vocabularies of many scripts have no common
+prefixes), its terms are dealt into buckets by a hash of their suffix, so no
+group grows with the vocabulary.
 
 Defined results: null and empty terms are no terms; outer white space never
 counts; a record with the same term in several rows counts once as a record
@@ -15,16 +18,18 @@ and each time as an occurrence; a null record adds occurrences only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage
 
-_CONTAINER = "field string, prefix string, suffixes array<string>, occurrences array<bigint>, records array<bigint>"
+_CONTAINER = "field string, prefix string, bucket int, suffixes array<string>, occurrences array<bigint>, records array<bigint>"
 _TERM = "field string, term string, occurrences bigint, records bigint"
 
 
@@ -81,8 +86,8 @@ class BurstTrie:
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays(
-        [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.int64()))],
-        names=["field", "prefix", "suffixes", "occurrences", "records"],
+        [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.string())), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.list_(pa.int64()))],
+        names=["field", "prefix", "bucket", "suffixes", "occurrences", "records"],
     )
 
 
@@ -91,7 +96,7 @@ def _emit(tries: dict[str, BurstTrie]) -> Iterator[pa.RecordBatch]:
     held = 0
     for name, trie in tries.items():
         for prefix, box in trie.subtrees():
-            rows.append((name, prefix, list(box), [e[0] for e in box.values()], [e[1] for e in box.values()]))
+            rows.append((name, prefix, 0, list(box), [e[0] for e in box.values()], [e[1] for e in box.values()]))
             held += len(box)
             if held > 50_000:
                 yield _batch(rows)
@@ -117,34 +122,51 @@ def _accumulate(burst: int, most: int):
     return run
 
 
-def _reroute(routes: frozenset[tuple[str, str]], depth: int):
-    """Cut containers so that each lies below one route: the longest route that is a prefix of its terms."""
+def _reroute(routes: dict[tuple[str, str], int], depth: int):
+    """Cut containers so that each lies below one route, and in one of its buckets.
+
+    The route of a term is the longest one that is a prefix of it; ``routes``
+    gives the buckets of each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for name, prefix, suffixes, occurrences, records in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                parts: dict[str, tuple[list, list, list]] = {}
+            for name, prefix, _, suffixes, occurrences, records in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                parts: dict[tuple[str, int], tuple[list, list, list]] = {}
                 for suffix, o, r in zip(suffixes, occurrences, records, strict=True):
                     term = prefix + suffix
                     route = next((term[:n] for n in range(min(depth, len(term)), 0, -1) if (name, term[:n]) in routes), "")
-                    part = parts.setdefault(route, ([], [], []))
-                    part[0].append(term[len(route) :])
+                    rest = term[len(route) :]
+                    buckets = routes.get((name, route), 1)
+                    part = parts.setdefault((route, xxhash.xxh64_intdigest(rest.encode("utf-8", "surrogatepass")) % buckets if buckets > 1 else 0), ([], [], []))
+                    part[0].append(rest)
                     part[1].append(o)
                     part[2].append(r)
-                rows.extend((name, route, *part) for route, part in parts.items())
+                rows.extend((name, route, bucket, *part) for (route, bucket), part in parts.items())
             if rows:
                 yield _batch(rows)
 
     return run
 
 
+def buckets_of(sizes: dict[tuple[str, str], int], share: float) -> dict[tuple[str, str], int]:
+    """Buckets per route: what it keeps for itself, less the routes right below it, in parts of ``share`` entries."""
+    kept = dict(sizes)
+    for (name, route), n in sizes.items():
+        if route:
+            above = next((route[:k] for k in range(len(route) - 1, -1, -1) if (name, route[:k]) in sizes), None)
+            if above is not None:
+                kept[name, above] -= n
+    return {k: max(1, math.ceil(n / share)) for k, n in kept.items()}
+
+
 def _merge(burst: int):
     def run(table: pa.Table) -> pa.Table:
         trie = BurstTrie(burst)
         name, route = table.column(0)[0].as_py(), table.column(1)[0].as_py()
         for batch in table.to_batches():
-            for suffixes, occurrences, records in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
+            for suffixes, occurrences, records in zip(*[batch.column(i).to_pylist() for i in (3, 4, 5)], strict=True):
                 for suffix, o, r in zip(suffixes, occurrences, records, strict=True):
                     trie.add(suffix, o, r)
         terms, occ, rec = [], [], []
@@ -163,8 +185,9 @@ def term_counts(rows: DataFrame, burst: int = 512, most: int = 200_000) -> DataF
 
     ``most`` bounds the terms a task holds at once. The routes are the
     prefixes below which at least one part in four per shuffle partition of
-    all counted entries lie, so their number is bounded by the number of
-    partitions, not by the data.
+    all counted entries lie, so their number and that of all buckets are
+    bounded by the number of partitions and the length of shared prefixes,
+    not by the data; a group holds about such a part.
     """
     spark = rows.sparkSession
     tidy = rows.select("field", F.trim(F.col("term")).alias("term"), F.col("record").cast("string").alias("record")).where("term <> ''")
@@ -174,15 +197,16 @@ def term_counts(rows: DataFrame, burst: int = 512, most: int = 200_000) -> DataF
     containers = stage(once.mapInArrow(_accumulate(burst, most), _CONTAINER), "term-containers")
     sizes = containers.select("field", "prefix", F.size("suffixes").alias("n"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    ahead = F.explode(F.transform(F.sequence(F.lit(1), F.length("prefix")), lambda n: F.substring(F.col("prefix"), F.lit(1), n)))
-    routes = (
-        sizes.where("prefix <> ''").select("field", ahead.alias("route"), "n").groupBy("field", "route").agg(F.sum("n").alias("n")).where(F.col("n") * parts >= total).collect()
-    )
-    table = frozenset((r["field"], r["route"]) for r in routes)
-    depth = max((len(r["route"]) for r in routes), default=0)
+    ahead = F.explode(F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda n: F.substring(F.col("prefix"), F.lit(1), n)))
+    per = sizes.select("field", ahead.alias("route"), "n").groupBy("field", "route").agg(F.sum("n").alias("n"))
+    per = stage(per, "term-prefixes")
+    total = per.where("route = ''").agg(F.sum("n")).first()[0] or 0
+    share = max(total / parts, 1.0)
+    found = {(r["field"], r["route"]): r["n"] for r in per.where((F.col("n") >= share) | (F.col("route") == "")).collect()}
+    table = buckets_of(found, share)
+    depth = max((len(route) for _, route in table), default=0)
     routed = containers.mapInArrow(_reroute(table, depth), _CONTAINER)
-    return routed.groupBy("field", "prefix").applyInArrow(_merge(burst), _TERM)
+    return routed.groupBy("field", "prefix", "bucket").applyInArrow(_merge(burst), _TERM)
 
 
 def marked_terms(counts: DataFrame, totals: dict[str, int], rare: int = 2, common: float = 0.04) -> DataFrame:
