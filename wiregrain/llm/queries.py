@@ -54,6 +54,24 @@ _TERMS = """with rows as (
 )"""
 
 
+# windows of items and documents as words or letters, joined
+_WINDOWS = r"""with texts as (
+  select 'd' as side, doc_id as id, text from documents where text <> '' union all select 'i', item_id, text from eval_items where text <> ''
+), bare as (
+  select side, id, lower(regexp_replace(regexp_replace(regexp_replace(text, '(?s)</?[A-Za-z][^<>]*>|<!--.*?-->|\]\([^()\s]*\)', '', 'g'), '&(nbsp|#160);', ' ', 'g'), '\p{Cf}+', '', 'g')) as t from texts
+), cut as (
+  select side, id, list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}]+'), lambda w: w <> '') as words, regexp_replace(t, '[^\p{L}]+', '', 'g') as letters from bare
+), kinds as (
+  select *, 2 * len(regexp_replace(letters, '[^\p{Han}\p{Hiragana}\p{Katakana}ー]+', '', 'g')) > len(letters) as lettered from cut
+), patterns as (
+  select distinct id as item_id, array_to_string(words[k:k + 11], ' ') as p from (select *, unnest(range(1, len(words) - 10)) as k from kinds where side = 'i' and not lettered)
+  union select distinct id, substr(letters, cast(k as bigint), 24) from (select *, unnest(range(1, len(letters) - 22)) as k from kinds where side = 'i' and lettered)
+), grams as (
+  select distinct id as doc_id, array_to_string(words[k:k + 11], ' ') as p from (select *, unnest(range(1, len(words) - 10)) as k from kinds where side = 'd')
+  union select distinct id, substr(letters, cast(k as bigint), 24) from (select *, unnest(range(1, len(letters) - 22)) as k from kinds where side = 'd' and regexp_matches(letters, '[\p{Han}\p{Hiragana}\p{Katakana}]'))
+)"""
+
+
 # the invariants of a packing, from the documents alone
 _WHOLE = """with sized as (
   select container_kind, capacity_tokens as cap, cast(floor(capacity_tokens * {share}) as bigint) as most_loss, strlen(text) as n, strlen(regexp_replace(text, '\\s+', '', 'g')) as loss
@@ -70,6 +88,9 @@ def oracle_sql() -> dict[str, str]:
         "p6_instruction_invariants": _WHOLE.format(share=0.875, loss="loss"),
         "p2_found": f"{_TERMS} select field, term, mark from marked where mark <> 'useful'",
         "p2_term_counts": f"{_TERMS} select field, term, occurrences, records, mark from marked",
+        "p7_found": f"{_WINDOWS} select distinct doc_id, item_id from grams join patterns using (p)",
+        "p7_report": f"""{_WINDOWS} select item_id, suite, lang, count(distinct doc_id) as n_docs, count(distinct source) as n_sources
+from eval_items left join (select distinct doc_id, item_id, source from grams join patterns using (p) join documents using (doc_id)) using (item_id) group by all""",
         "p6_found": """select container_kind, doc_id, cast(unnest(range(cast(ceil(strlen(text) / capacity_tokens) as bigint))) as integer) as piece_no
 from documents cross join container_kinds where strlen(text) > capacity_tokens""",
     }

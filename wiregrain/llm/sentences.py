@@ -226,6 +226,10 @@ _HEADING = re.compile(r"[ \t]*#{1,6}[ \t]+\S")
 # what stands before a position: as far back as the longest abbreviation with its spaces and one character more
 _REACH = 2 + max(2 * len(w) for table in (_TITLES, _NAMED, _NUMBERED, _LOOSE) for words in table.values() for w in words.split())
 _ABBREVIATIONS = frozenset(w for table in (_TITLES, _NAMED, _NUMBERED) for k in _LATIN for w in table[k].split())
+# every word or part of a word that some rule about abbreviations names
+_NAMES = frozenset(part for table in (_TITLES, _NAMED, _NUMBERED, _LOOSE) for words in table.values() for w in words.split() for part in (w, *w.split("."))) | frozenset(
+    part for w in _PARTED.split() for part in w.split(".")
+)
 _WORD = re.compile(r"[^\W\d_]+")
 _LANGUAGE_OF: dict[str, tuple[str, ...]] = {}
 for _language, _list in _FUNCTION.items():
@@ -301,6 +305,13 @@ class Block:
         ``run`` is where the final marks before it begin, ``sentence`` where the sentence does.
         """
         block = self.block
+        if end - run == 1 and block[run] in ".!?" and block[end].isspace() and block[run - 1 : run] < "\u0530":
+            # one mark behind a word that no rule names, and space: the last rule for space decides
+            at = run
+            while at > 0 and block[at - 1].isalpha():
+                at -= 1
+            if run - at > 1 and block[at:run] not in _NAMES and (at == 0 or block[at - 1].isspace()):
+                return True
         near = block[max(0, run - _REACH) : end]
         tail = block[max(0, run - 1) : end]
         # the last entry of the cascade is for all scripts, and the only one for ASCII
