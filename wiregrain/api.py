@@ -16,14 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, NullType, StructType
 
+from . import hints
 from .config import EngineConfig
-from .errors import EngineError, invalid, not_found
+from .errors import EngineError, from_source, invalid, not_found
 from .functions import bodies
 from .functions.schemas import SchemaTextError
 from .operators import bodyquery, catalog, compare, flow, graphql, infer, meta, search, shapes, validation
+from .sources.live import SourceError, register
 from .sources.tables import read_table, ship_package
 
 SCHEME = "wiregrain"
+MOST_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -45,11 +48,14 @@ class Engine:
     """Analytics over the tables of a capture.
 
     ``tables`` maps names (sessions, entries, tls_client_hellos ...) to
-    DataFrames; ``Engine.open`` reads them from a folder.
+    DataFrames; ``Engine.open`` reads them from a folder, ``Engine.live`` from
+    a running service. The configuration comes from the environment where
+    none is given.
     """
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], config: EngineConfig | None = None):
-        self.spark, self.tables, self.config = spark, tables, config or EngineConfig()
+        self.spark, self.tables, self.config = spark, tables, config or EngineConfig.from_env()
+        self.service: dict[str, str] = {}
         self.operators: dict[str, Operator] = {}
         ship_package(spark)
 
@@ -57,6 +63,25 @@ class Engine:
     def open(cls, spark: SparkSession, folder: str, config: EngineConfig | None = None) -> Engine:
         return cls(spark, {n: read_table(spark, folder, n) for n in ("sessions", "entries", "tls_client_hellos")}, config)
 
+    @classmethod
+    def live(cls, spark: SparkSession, base_url: str, session: str = "active", config: EngineConfig | None = None) -> Engine:
+        """An engine over one session of a running service; its tables are read when a result is computed."""
+        register(spark)
+        config = config or EngineConfig.from_env()
+        out = cls(spark, {}, config)
+        out.service = {"base_url": base_url, "session": session, "timeout": str(config.client_timeout_s), "fetch_workers": str(config.fetch_workers)}
+        out.tables |= {"entries": out.from_service("entries"), "sessions": out.from_service("sessions")}
+        return out
+
+    def from_service(self, what: str, **options: str) -> DataFrame:
+        """A table of the service: entries, sessions, bookmarks, listed, tls or http2; failures in the engine's error codes."""
+        if not self.service:
+            raise invalid(f"{what}: this engine reads tables, not a service")
+        try:
+            return self.spark.read.format("capture").options(what=what, **(self.service | options)).load()
+        except SourceError as e:
+            raise from_source(e) from None
+
     @property
     def entries(self) -> DataFrame:
         return self.tables["entries"]
@@ -101,18 +126,22 @@ class Engine:
         """The given session, else the only one."""
         if session_id:
             return session_id
-        rows = self.tables["sessions"].select("session_id", "name").limit(50).collect()
+        rows = self.tables["sessions"].select("session_id", "name").orderBy("session_id").limit(51).collect()
         if len(rows) == 1:
             return rows[0]["session_id"]
         if not rows:
             raise not_found("session", "active")
-        listed = ", ".join(f"{r['session_id']} ({r['name']})" if r["name"] else r["session_id"] for r in rows)
+        listed = ", ".join(f"{r['session_id']} ({r['name']})" if r["name"] else r["session_id"] for r in rows[:50]) + (" and more" if len(rows) > 50 else "")
         raise invalid(f"several sessions are open, name one of them: {listed}")
 
-    def search_entries(self, query: str = "", filters: search.Filters | None = None, limit: int = 0, offset: int = 0, include_details: bool = False) -> DataFrame:
-        """Ranked entries; without details the connection, size and process columns are left out."""
+    def search_entries(self, query: str = "", filters: search.Filters | None = None, limit: int = 0, offset: int = 0, include_details: bool = False, among: DataFrame | None = None) -> DataFrame:
+        """Ranked entries; without details the connection, size and process columns are left out.
+
+        ``among`` holds the ``entry_id`` of those to search, such as ``bookmarked()`` or ``listed()``.
+        """
         c = self.config
-        found = search.search(self.entries, query, filters or search.Filters(), min(limit or c.default_search_limit, c.max_search_results), offset, c.index_body, c.index_body_max_bytes)
+        entries = self.entries if among is None else self.entries.join(among.select("entry_id").distinct(), "entry_id", "left_semi")
+        found = search.search(entries, query, filters or search.Filters(), min(limit or c.default_search_limit, c.max_search_results), offset, c.index_body, c.index_body_max_bytes)
         thin = ("tls_connection_id", "ja3", "ja4", "h2_connection_id", "h2_stream_id", "req_body_bytes", "resp_body_bytes", "process_name", "pid")
         return found if include_details else found.drop(*thin)
 
@@ -144,12 +173,31 @@ class Engine:
         except ValueError as e:
             return f"[decode error: {e}]"
 
+    def bookmarked(self) -> DataFrame:
+        """Ids of the bookmarked entries of the live session."""
+        return self.from_service("bookmarks")
+
+    def listed(self, selected: bool = False, bookmarked: bool = False, highlighted: Sequence[str] = ()) -> DataFrame:
+        """Ids of the entries that are selected, bookmarked or highlighted in the live session."""
+        return self.from_service("listed", selected=str(selected).lower(), bookmarked=str(bookmarked).lower(), highlighted=",".join(highlighted))
+
+    def tls_events(self, *connections: str) -> DataFrame:
+        """All events of TLS connections of the live service, in order."""
+        return self.from_service("tls", connections=",".join(connections)).orderBy("connection_id", "event_no")
+
+    def http2_frames(self, connection_id: str, stream_id: int = 0) -> DataFrame:
+        """All frames of an HTTP/2 connection of the live service, or of one stream, in order."""
+        more = {"stream": str(stream_id)} if stream_id else {}
+        return self.from_service("http2", connections=connection_id, **more).orderBy("stream_id", "frame_no")
+
     def get_tls(self, connection_id: str) -> DataFrame:
-        """Handshake messages of a connection."""
+        """Handshake messages of a connection: its events in a live session, else the stored ClientHellos."""
+        if self.service:
+            return self.tls_events(connection_id)
         return self.tables["tls_client_hellos"].where(F.col("connection_id") == connection_id).distinct().orderBy("seen_at")
 
     def get_http2_stream(self, connection_id: str, stream_id: int) -> DataFrame:
-        """Entries on one stream of a connection."""
+        """Entries on one stream of a connection; ``http2_frames`` has its frames."""
         return meta.entries_meta(self.entries).where((F.col("h2_connection_id") == connection_id) & (F.col("h2_stream_id") == stream_id))
 
     # -- comparison -----------------------------------------------------------
@@ -173,13 +221,16 @@ class Engine:
     def describe_endpoint(self, cluster_id: str, max_examples: int = 5) -> dict[str, DataFrame]:
         """Headers, authentication, query keys, body shapes and examples of one cluster."""
         inside = lambda df: df.where(F.col("cluster_id") == cluster_id)
+        # all deliveries of entries of which some delivery is in the cluster; the latest one decides
+        flat = meta.with_meta(self.entries, catalog.KEY)
+        near = self.entries.join(flat.where(catalog.cluster_id() == cluster_id).select("entry_id").distinct(), "entry_id", "left_semi")
         return {
-            "headers": inside(catalog.header_frequency(self.entries, max_examples)),
-            "auth": inside(catalog.auth_signals(self.entries, max_examples)),
-            "query_keys": inside(catalog.query_keys(self.entries, max_examples)),
-            "request_shape": inside(shapes.body_shapes(self.entries, "request", max_examples)),
-            "response_shape": inside(shapes.body_shapes(self.entries, "response", max_examples)),
-            "examples": inside(catalog.cluster_members(self.entries)).where(F.col("place") < max_examples),
+            "headers": inside(catalog.header_frequency(near, max_examples)),
+            "auth": inside(catalog.auth_signals(near, max_examples)),
+            "query_keys": inside(catalog.query_keys(near, max_examples)),
+            "request_shape": inside(shapes.body_shapes(near, "request", max_examples)),
+            "response_shape": inside(shapes.body_shapes(near, "response", max_examples)),
+            "examples": catalog.cluster_members(near, only=cluster_id).where(F.col("place") < max_examples),
         }
 
     def trace_flow(self, seed: str, window_ms: int = 120_000, same_pid: bool = True, same_host: bool = True, limit: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -196,7 +247,7 @@ class Engine:
         most = min(most or self.config.default_query_limit, self.config.max_query_entries)
         if not cluster_id:
             return list(entry_ids)[:most]
-        rows = catalog.cluster_members(self.entries).where((F.col("cluster_id") == cluster_id) & (F.col("place") < most)).orderBy("place").collect()
+        rows = catalog.cluster_members(self.entries, only=cluster_id).where(F.col("place") < most).orderBy("place").collect()
         if not rows:
             raise not_found("cluster", cluster_id)
         return [r["entry_id"] for r in rows]
@@ -251,6 +302,26 @@ class Engine:
         }
         return {s: made[s]() for s in sections or self.SECTIONS}
 
+    # -- advice ---------------------------------------------------------------
+
+    def search_hint(self, page: DataFrame, total: int, offset: int = 0) -> str:
+        """What to do after a page of ``search_entries`` of so many hits."""
+        return hints.search(total, page.count(), offset)
+
+    def endpoints_hint(self, page: DataFrame) -> str:
+        """What to do after a page of ``extract_endpoints``."""
+        rows = page.select("category", "total_count").collect()
+        counts: dict[str, int] = {}
+        for r in rows:
+            counts[r["category"]] = counts.get(r["category"], 0) + 1
+        return hints.endpoints(rows[0]["total_count"] if rows else 0, len(rows), counts)
+
+    def query_hint(self, found: DataFrame, mode: str = "") -> str:
+        """What to do after ``bodyquery.query_bodies``."""
+        rows = {r["status"]: r for r in bodyquery.query_summary(found).collect()}
+        n = {k: rows[k]["n_bodies"] if k in rows else 0 for k in ("value", "nothing", "error")}
+        return hints.query(rows["value"]["n_values"] if "value" in rows else 0, sum(n.values()), mode, n["error"])
+
     # -- resources ------------------------------------------------------------
 
     def resource(self, address: str) -> str:
@@ -282,8 +353,11 @@ class Engine:
 
     @staticmethod
     def _rows(df: DataFrame) -> str:
-        """Rows of a bounded result as JSON text."""
-        return json.dumps([r.asDict(recursive=True) for r in df.limit(10_000).collect()], indent=2, default=str)
+        """Rows of a result as JSON text; a result that is too large for a text is an error."""
+        rows = df.limit(MOST_ROWS + 1).collect()
+        if len(rows) > MOST_ROWS:
+            raise invalid(f"more than {MOST_ROWS} rows: query the table instead")
+        return json.dumps([r.asDict(recursive=True) for r in rows], indent=2, default=str)
 
 
 __all__ = ["Engine", "EngineError", "Operator", "SCHEME"]

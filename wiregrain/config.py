@@ -19,9 +19,7 @@ class EngineConfig:
     max_query_values: int = 1_000
     index_body: bool = False
     index_body_max_bytes: int = 65_536
-    bootstrap_tail_limit: int = 20_000
     fetch_workers: int = 16
-    refresh_interval_s: float = 2.0
     client_timeout_s: float = 10.0
 
     @classmethod

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,17 +17,14 @@ from pyspark.sql import functions as F
 
 from ..functions import bodies, content, headers, text
 from ..functions.jsonkit import clean
-from ..sources.tables import latest_entries
+from ..sources.tables import latest_entries, stage
 
 TARGETS = ("request", "response", "both")
-_SCHEMA = "entry_id string, target string, mode string, status string, pos int, value string"
 
 
 def decoded_bodies(entries: DataFrame, target: str = "response", entry_ids: Sequence[str] | None = None) -> DataFrame:
     """entry_id, target, content type, whether there is a body, and the decoded body (null where it is not base64)."""
-    if target not in TARGETS:
-        raise ValueError("target must be 'request', 'response', or 'both'")
-    sides = ("request", "response") if target == "both" else (target,)
+    sides = sides_of(target)
     if entry_ids is not None:
         entries = entries.where(F.col("entry_id").isin(list(entry_ids)))
     kept = latest_entries(
@@ -46,39 +43,75 @@ def decoded_bodies(entries: DataFrame, target: str = "response", entry_ids: Sequ
     return kept.select("entry_id", each.alias("b")).select("entry_id", "b.*")
 
 
-def _run(expression: str, mode: str, most: int):
+def per_body(entries: DataFrame, sides: Sequence[str], work: Callable[[], Callable[[str, bool, bytes | None], list[tuple]]], ddl: str) -> DataFrame:
+    """What ``work`` makes of each body: entry_id, target and the columns of ``ddl``.
+
+    ``work`` is called once per task; its result takes content type, whether
+    there is a body, and the body (null where it is not base64), and gives
+    rows. Deliveries are worked on before the latest one is chosen, so the
+    results are shuffled and not the bodies.
+    """
+    flat = entries.select(
+        "entry_id",
+        "ingested_at",
+        *[
+            c
+            for s in sides
+            for c in (
+                headers.first_value(F.col(f"{s}.headers"), "content-type").alias(f"{s}_type"),
+                F.coalesce(F.length(f"{s}.body") > 0, F.lit(False)).alias(f"{s}_has"),
+                F.expr(f"try_to_binary({s}.body, 'base64')").alias(f"{s}_body"),
+            )
+        ],
+    )
+    row = f"struct<target:string,{ddl.replace(', ', ',').replace(' ', ':')}>"
+    names = ["target", *(c.split()[0] for c in ddl.split(", "))]
+    arrow = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    item = pa.struct([("target", pa.string()), *((n, arrow[t]) for n, t in (c.split() for c in ddl.split(", ")))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extract = bodies.Extractor(expression, mode, most)
+        each = work()
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-
-            def put(entry: str, target: str, used: str | None, status: str, pos: int | None, value: str | None, out: list[list] = out) -> None:
-                for c, x in zip(out, (entry, target, used, status, pos, None if value is None else clean(value)), strict=True):
-                    c.append(x)
-
-            for entry, target, kind, has, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if not has:
-                    put(entry, target, None, "skipped", None, "empty")
-                elif body is None:
-                    put(entry, target, None, "skipped", None, "not base64")
-                elif bodies.is_binary(kind, body):
-                    put(entry, target, None, "skipped", None, f"binary: {kind}")
-                else:
-                    try:
-                        used, values, errors = extract(body, kind)
-                    except (ValueError, RecursionError) as e:
-                        put(entry, target, None, "error", None, str(e)[:500])
-                        continue
-                    for i, v in enumerate(values):
-                        put(entry, target, used, "value", i, json.dumps(v, ensure_ascii=False, separators=(",", ":")))
-                    for e in errors:
-                        put(entry, target, used, "error", None, e)
-                    if not values and not errors:
-                        put(entry, target, used, "nothing", None, None)
-            types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["entry_id", "target", "mode", "status", "pos", "value"])
-
-    return run
+            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for i, side in enumerate(sides):
+                for rows, kind, has, body in zip(found, *[batch.column(2 + 3 * i + k).to_pylist() for k in range(3)], strict=True):
+                    rows.extend(dict(zip(names, (side, *r), strict=True)) for r in each(kind, has, body))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(item))], names=["entry_id", "ingested_at", "rows"])
+
+    at = dict(flat.dtypes)["ingested_at"]
+    made = flat.mapInArrow(run, f"entry_id string, ingested_at {at}, rows array<{row}>")
+    return latest_entries(made, {"rows": F.col("rows")}).select("entry_id", F.explode("rows").alias("r")).select("entry_id", "r.*")
+
+
+def _extraction(expression: str, mode: str, most: int) -> Callable[[], Callable[[str, bool, bytes | None], list[tuple]]]:
+    def work() -> Callable[[str, bool, bytes | None], list[tuple]]:
+        extract = bodies.Extractor(expression, mode, most)
+
+        def each(kind: str, has: bool, body: bytes | None) -> list[tuple]:
+            if not has:
+                return [(None, "skipped", None, "empty")]
+            if body is None:
+                return [(None, "skipped", None, "not base64")]
+            if bodies.is_binary(kind, body):
+                return [(None, "skipped", None, clean(f"binary: {kind}"))]
+            try:
+                used, values, errors = extract(body, kind)
+                out = [(used, "value", i, clean(json.dumps(v, ensure_ascii=False, separators=(",", ":")))) for i, v in enumerate(values)]
+            except (ValueError, RecursionError) as e:
+                return [(None, "error", None, clean(str(e)[:500]))]
+            out += [(used, "error", None, clean(e)) for e in errors]
+            return out or [(used, "nothing", None, None)]
+
+        return each
+
+    return work
+
+
+def sides_of(target: str) -> tuple[str, ...]:
+    """The sides of an entry that a target names."""
+    if target not in TARGETS:
+        raise ValueError("target must be 'request', 'response', or 'both'")
+    return ("request", "response") if target == "both" else (target,)
 
 
 def query_bodies(entries: DataFrame, expression: str, mode: str = "", target: str = "response", entry_ids: Sequence[str] | None = None, most: int = 0) -> DataFrame:
@@ -88,7 +121,9 @@ def query_bodies(entries: DataFrame, expression: str, mode: str = "", target: st
     limits the values of a body (0: all).
     """
     bodies.Extractor(expression, mode, most)
-    return decoded_bodies(entries, target, entry_ids).mapInArrow(_run(expression, mode, most), _SCHEMA)
+    if entry_ids is not None:
+        entries = entries.where(F.col("entry_id").isin(list(entry_ids)))
+    return per_body(entries, sides_of(target), _extraction(expression, mode, most), "mode string, status string, pos int, value string")
 
 
 def values_of(found: DataFrame, deduplicate: bool = False) -> DataFrame:
@@ -127,29 +162,38 @@ def json_path_values(entries: DataFrame, expression: str, target: str = "respons
     path = lowered_path(expression)
     if path is None:
         raise ValueError("not a plain path")
-    found = decoded_bodies(entries, target).where(F.contains(F.lower("content_type"), F.lit("json")) & F.col("body").isNotNull())
-    body = F.when(F.is_valid_utf8(F.col("body").cast("string")), F.col("body").cast("string"))
-    at = F.try_variant_get(F.try_parse_json(body), path, "variant")
+    raw = F.expr(f"try_to_binary({sides_of(target)[0]}.body, 'base64')").cast("string")
+    kind = headers.first_value(F.col(f"{sides_of(target)[0]}.headers"), "content-type")
+    flat = entries.select("entry_id", "ingested_at", F.when(F.contains(F.lower(kind), F.lit("json")), raw).alias("body"))
+    at = F.try_variant_get(F.try_parse_json(F.when(F.is_valid_utf8("body"), F.col("body"))), path, "variant")
     scalar = ~F.schema_of_variant(at).rlike("^(OBJECT|ARRAY|VOID)")
-    return found.select("entry_id", F.when(scalar, F.try_variant_get(at, "$", "string")).alias("value")).where("value is not null")
+    # the value is taken before the shuffle, so bodies are not moved
+    return latest_entries(flat, {"value": F.when(scalar, F.try_variant_get(at, "$", "string"))}).where("value is not null")
 
 
 def regex_values(entries: DataFrame, pattern: str, group: int = 0, target: str = "response") -> DataFrame:
     """Every match (or its ``group``) in textual bodies, with its place; evaluated in the JVM."""
     re.compile(pattern)
-    found = decoded_bodies(entries, target).where("body is not null")
-    found = found.where(~content.is_binary(F.col("content_type"), F.col("body")))
+    side = sides_of(target)[0]
+    kind = headers.first_value(F.col(f"{side}.headers"), "content-type")
+    flat = entries.select("entry_id", "ingested_at", kind.alias("content_type"), F.expr(f"try_to_binary({side}.body, 'base64')").alias("body"))
     body = F.make_valid_utf8(F.col("body").cast("string"))
-    return found.select("entry_id", F.posexplode(F.regexp_extract_all(body, F.lit(pattern), F.lit(group))).alias("pos", "value"))
+    matches = F.when(F.col("body").isNotNull() & ~content.is_binary(F.col("content_type"), F.col("body")), F.regexp_extract_all(body, F.lit(pattern), F.lit(group)))
+    # the matches are taken before the shuffle, so bodies are not moved
+    return latest_entries(flat, {"found": matches}).select("entry_id", F.posexplode("found").alias("pos", "value"))
 
 
 def form_keys(entries: DataFrame) -> DataFrame:
     """Keys of query strings: in how many URLs with a query they occur, and how often."""
-    kept = latest_entries(entries, {"url": F.col("url")}).where(F.contains("url", F.lit("?")))
-    total = max(kept.count(), 1)
-    pairs = kept.select("entry_id", F.explode(text.query_pairs(F.col("url"))).alias("p")).select("entry_id", "p.key")
-    counted = pairs.groupBy("key").agg(F.countDistinct("entry_id").alias("n_urls"), F.count(F.lit(1)).alias("n_pairs"))
-    return counted.select("key", "n_urls", "n_pairs", F.round(F.col("n_urls") / F.lit(total), 6).alias("frequency"))
+    keys = F.when(F.contains("url", F.lit("?")), F.transform(text.query_pairs(F.col("url")), lambda p: p["key"]))
+    kept = latest_entries(entries, {"keys": keys}).where("keys is not null")
+    # one row per key of a URL, and one without a key per URL: their sum is the number of URLs
+    each = F.transform(F.array_distinct("keys"), lambda k: F.struct(k.alias("key"), F.size(F.filter("keys", lambda x: x == k)).alias("n")))
+    marked = F.explode(F.concat(each, F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(0).alias("n")))))
+    counted = kept.select(marked.alias("k")).groupBy("k.key").agg(F.count(F.lit(1)).alias("n_urls"), F.sum("k.n").alias("n_pairs"))
+    counted = stage(counted, "form-keys")
+    total = (counted.where("key is null").select("n_urls").first() or [1])[0]
+    return counted.where("key is not null").select("key", "n_urls", "n_pairs", F.round(F.col("n_urls") / F.lit(total), 6).alias("frequency"))
 
 
 def compact_bodies(entries: DataFrame, mode: str = "compact", target: str = "response", max_bytes: int = 0) -> DataFrame:

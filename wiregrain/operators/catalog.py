@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import content, text
-from ..sources.tables import places
+from ..sources.tables import places, stage
 from .meta import entries_meta
 from .search import Filters, condition, needed_columns
 
@@ -93,13 +93,15 @@ def endpoint_clusters(entries: DataFrame, scope: Scope | None = None, min_count:
 
 def endpoint_page(clusters: DataFrame, max_clusters: int = 200, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of the largest clusters, ``total_count`` included; ties by key."""
-    top = clusters.orderBy(F.desc("count"), *KEY).limit(min(max_clusters, 2000))
+    top = stage(clusters.orderBy(F.desc("count"), *KEY).limit(min(max_clusters, 2000)), "endpoint-page")
     return top.withColumn("total_count", F.lit(top.count()).cast("bigint")).orderBy(F.desc("count"), *KEY).offset(offset).limit(limit)
 
 
-def cluster_members(entries: DataFrame, scope: Scope | None = None) -> DataFrame:
-    """cluster_id, place and entry_id of every member; the place is by time, then id."""
+def cluster_members(entries: DataFrame, scope: Scope | None = None, only: str = "") -> DataFrame:
+    """cluster_id, place and entry_id of every member, or of the members of one cluster; the place is by time, then id."""
     kept = scoped_entries(entries, scope).select(cluster_id().alias("cluster_id"), "ts_ms", "entry_id")
+    if only:
+        kept = kept.where(F.col("cluster_id") == only)
     return places(kept, ["cluster_id"], ["ts_ms", "entry_id"]).select("cluster_id", "place", "entry_id")
 
 

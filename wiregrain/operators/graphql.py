@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +37,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 except ValueError:
                     pass
             for op in found[0]:
-                variables = None if op.variables is None else json.dumps(op.variables, sort_keys=True)
+                variables = None if op.variables is None else jsonkit.canonical_text(op.variables)
                 failed = op.batch_index < len(flags) and flags[op.batch_index]
                 rows.append((entry, ts, host, found[1], op.batch_index, jsonkit.clean(op.name), op.type, [jsonkit.clean(f) for f in op.fields], jsonkit.clean(op.raw_query), variables, variables is not None, op.parse_failed, failed, text))
         types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
@@ -103,10 +102,10 @@ def _variable_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         for name, kind, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            value = json.loads(text)
+            value = jsonkit.parse_json(text)
             if isinstance(value, dict):
                 for k, v in value.items():
-                    row = (name, kind, jsonkit.clean(k), jsonkit.kind(v), None if v is None else jsonkit.clean(json.dumps(v, sort_keys=True)))
+                    row = (name, kind, jsonkit.clean(k), jsonkit.kind(v), None if v is None else jsonkit.clean(jsonkit.canonical_text(v)))
                     for c, x in zip(out, row, strict=True):
                         c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["name", "type", "variable", "value_type", "value"])
@@ -140,7 +139,7 @@ def error_summary(ops: DataFrame) -> DataFrame:
         for batch in batches:
             found, partial = [], []
             for text in batch.column(2).to_pylist():
-                value = json.loads(text) if text else None
+                value = jsonkit.parse_json(text) if text else None
                 errors = value.get("errors") if isinstance(value, dict) else None
                 n = len(errors) if isinstance(errors, list) else 0
                 found.append(n)
@@ -165,7 +164,7 @@ def typenames(ops: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for name, kind, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                rows += [(name, kind, jsonkit.clean(at), jsonkit.clean(t), bare) for at, t, bare in gql.typed_objects(json.loads(text))]
+                rows += [(name, kind, jsonkit.clean(at), jsonkit.clean(t), bare) for at, t, bare in gql.typed_objects(jsonkit.parse_json(text))]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 4 + [pa.bool_()], strict=True)], names=["name", "type", "path", "typename", "is_bare"])
 
@@ -214,7 +213,7 @@ def response_variants(ops: DataFrame, most: int = 10) -> DataFrame:
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [",".join(map(jsonkit.clean, gql.response_shape(json.loads(t)))) for t in batch.column(4).to_pylist()]
+            keys = [",".join(map(jsonkit.clean, gql.response_shape(jsonkit.parse_json(t)))) for t in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(5), pa.array(keys, pa.string())], names=["name", "type", "entry_id", "ts_ms", "variables", "shape"])
 
     answered = ops.where("response is not null").select("name", "type", "entry_id", "ts_ms", "response", F.coalesce("variables", F.lit("{}")).alias("variables"))
@@ -230,8 +229,8 @@ def response_variants(ops: DataFrame, most: int = 10) -> DataFrame:
         for batch in batches:
             rows = []
             for name, kind, rank, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                value = json.loads(text)
-                rows += [(name, kind, rank, jsonkit.clean(k), jsonkit.clean(json.dumps(v, sort_keys=True))) for k, v in (value.items() if isinstance(value, dict) else ())]
+                value = jsonkit.parse_json(text)
+                rows += [(name, kind, rank, jsonkit.clean(k), jsonkit.clean(jsonkit.canonical_text(v))) for k, v in (value.items() if isinstance(value, dict) else ())]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["name", "type", "rank", "variable", "value"])

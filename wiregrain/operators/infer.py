@@ -52,9 +52,10 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cluster, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
                 shape = Shape.of(jsonkit.parse_bytes(raw))
-            except ValueError:
+                mark = xxhash.xxh64_intdigest(json.dumps(shape.schema(required=False))) >> 1
+                json.dumps(shape.dump())
+            except (ValueError, RecursionError):  # a schema so deep cannot be written down
                 continue
-            mark = xxhash.xxh64_intdigest(json.dumps(shape.schema(required=False))) >> 1
             if cluster in held:
                 entry = held[cluster]
                 entry[0].merge(shape)
@@ -88,11 +89,48 @@ def json_schemas(entries: DataFrame, target: str = "response") -> DataFrame:
     return parts.groupBy("cluster_id").applyInArrow(_whole, "cluster_id string, schema string, sample_count bigint, all_match boolean")
 
 
+# paths hold these between members and behind arrays, so names with dots or brackets stay names
+_STEP, _ITEM = "\x1f", "\x1e"
 _NODE = "cluster_id string, path string, type string, value string, first string, n bigint"
 
 
+def _typed_nodes(root: object) -> Iterator[tuple[str, str, str | None]]:
+    """Path, type and value of every node: scalars as text, containers as a digest that tells them apart.
+
+    Digests are made from those of the children, from the last node to the
+    first, so a document costs as much as it is long, however deep it is.
+    """
+    nodes: list[tuple[str, object, str, int, str]] = []  # path, value, type, parent, name
+    stack: list[tuple[str, object, int, str]] = [("", root, -1, "")]
+    while stack:
+        path, v, parent, name = stack.pop()
+        t = type_of(v)
+        at = len(nodes)
+        nodes.append((path, v, t, parent, name))
+        if t == "object":
+            stack += [(f"{path}{_STEP}{k}", x, at, k) for k, x in v.items()]
+        elif t == "array" and path:
+            stack += [(path + _ITEM, x, at, "") for x in v]
+    parts: list[list[tuple[str, str]] | None] = [[] if t in ("object", "array") else None for _, _, t, _, _ in nodes]
+    for at in range(len(nodes) - 1, -1, -1):
+        path, v, t, parent, name = nodes[at]
+        inside = parts[at]
+        if inside is None:
+            text = None if t == "null" else jsonkit.canonical(v)
+        elif not path:
+            text = ""
+        else:
+            if t == "object":
+                inside.sort()
+            text = f"#{xxhash.xxh64_hexdigest((t + repr(inside)).encode('utf-8', 'surrogatepass'))}"
+            parts[at] = None
+        if parent >= 0:
+            parts[parent].append((name, text or t))
+        yield path, t, text
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (cluster, path, type, value) per batch; elements of arrays have the path of the array and ``[]``."""
+    """Counts of (cluster, path, type, value) per batch; elements of arrays have the path of the array and ``_ITEM``."""
     for batch in batches:
         held: dict[tuple, list] = {}
         for cluster, ts, entry, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -101,22 +139,13 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             except ValueError:
                 continue
             order = f"{ts:020d}{entry}"
-            stack = [("", root)]
-            while stack:
-                path, v = stack.pop()
-                t = type_of(v)
-                # containers only need to be told apart
-                text = None if t == "null" else "" if path == "" else f"#{jsonkit.value_hash(v)}" if t in ("object", "array") else jsonkit.canonical(v)
+            for path, t, text in _typed_nodes(root):
                 key = (cluster, path, t, text)
                 if key in held:
                     held[key][1] += 1
                     held[key][0] = min(held[key][0], order)
                 else:
                     held[key] = [order, 1]
-                if t == "object":
-                    stack += [(f"{path}.{k}" if path else k, x) for k, x in v.items()]
-                elif t == "array" and path:
-                    stack += [(path + "[]", x) for x in v]
         keys = list(held)
         yield pa.RecordBatch.from_arrays(
             [pa.array([None if k[i] is None else jsonkit.clean(k[i]) for k in keys], pa.string()) for i in range(4)]
@@ -145,13 +174,13 @@ def field_stats(entries: DataFrame, target: str = "response", examples: int = 3)
         F.sum(F.when(F.col("type") == "string", F.col("n")).otherwise(0)).alias("texts"),
         *[F.min(F.when(F.col("type") == "string", F.rlike(F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v"), F.lit(p)))).alias(f"is_{name}") for name, p in _java_formats()],
     )
-    parent = F.when(F.contains("path", F.lit(".")), F.regexp_extract("path", r"^(.*)\.[^.]*\z", 1)).otherwise(F.lit(""))
-    fields = per.where(~F.col("path").endswith("[]") & (F.col("path") != "")).withColumn("parent", parent)
+    parent = F.regexp_extract("path", rf"^(?s)(.*){_STEP}[^{_STEP}]*\z", 1)
+    fields = per.where(~F.col("path").endswith(_ITEM) & (F.col("path") != "")).withColumn("parent", parent)
     whole = per.where(F.size("types") == 1).select("cluster_id", F.col("path").alias("parent"), F.col("types")[0].alias("parent_type"), F.col("present").alias("parents"))
     fields = fields.join(whole, ["cluster_id", "parent"]).where("parent_type = 'object'")
     # every ancestor must be of one type
     mixed = per.where(F.size("types") > 1).select("cluster_id", F.col("path").alias("above"))
-    cuts = F.filter(F.sequence(F.lit(1), F.length("parent")), lambda i: F.substring(F.concat(F.col("parent"), F.lit(".")), i + 1, F.lit(1)).isin(".", "["))
+    cuts = F.filter(F.sequence(F.lit(1), F.length("parent")), lambda i: F.substring(F.concat(F.col("parent"), F.lit(_STEP)), i + 1, F.lit(1)).isin(_STEP, _ITEM))
     ancestors = F.explode(F.when(F.length("parent") > 0, F.concat(F.array(F.lit("")), F.transform(cuts, lambda i: F.substring(F.col("parent"), F.lit(1), i)), F.array("parent"))).otherwise(F.array(F.lit(""))))
     below = fields.select("cluster_id", "path", ancestors.alias("above")).join(mixed, ["cluster_id", "above"], "left_semi").select("cluster_id", "path").distinct()
     fields = fields.join(below, ["cluster_id", "path"], "left_anti")
@@ -167,8 +196,9 @@ def field_stats(entries: DataFrame, target: str = "response", examples: int = 3)
     kind = F.lit(None).cast("string")
     for name, _ in reversed(outlines.FORMATS):
         kind = F.when(F.col(f"is_{name}"), name).otherwise(F.when(kind.isNotNull(), kind).otherwise(F.when(F.col("n_few") <= outlines.MAX_ENUM, "enum"))) if name == outlines.FORMATS[-1][0] else F.when(F.col(f"is_{name}"), name).otherwise(kind)
+    shown_path = F.replace(F.replace(F.substr("path", F.lit(2)), F.lit(_ITEM), F.lit("[]")), F.lit(_STEP), F.lit("."))
     return joined.select(
-        "cluster_id", "path", F.array_join("types", "|").alias("type"), F.round(F.col("present") / F.col("parents"), 6).alias("frequency"),
+        "cluster_id", shown_path.alias("path"), F.array_join("types", "|").alias("type"), F.round(F.col("present") / F.col("parents"), 6).alias("frequency"),
         ((F.col("present") == F.col("parents")) & (F.col("nulls") == 0)).alias("required"), (F.col("nulls") > 0).alias("nullable"), "distinct_count",
         F.coalesce("examples", F.lit("[]")).alias("examples"), F.coalesce(F.when(only_text, kind), F.lit("")).alias("format"),
         F.when(only_text & (kind == "enum"), F.col("few")).otherwise("").alias("enum_values"),

@@ -61,6 +61,11 @@ SUMMARY = (
 ).split()
 
 
+def with_meta(entries: DataFrame, columns: Sequence[str], *others: str) -> DataFrame:
+    """Every delivery with the named columns and ``others`` as they are. What is computed of them in the payload of ``latest_entries`` is not shuffled itself."""
+    return entries.select("entry_id", "ingested_at", *[META[c]().alias(c) for c in columns], *others)
+
+
 def entries_meta(entries: DataFrame, columns: Sequence[str] = SUMMARY) -> DataFrame:
     """``entry_id`` and the named columns of each entry's latest delivery; only these are read and shuffled."""
     return latest_entries(entries, {c: META[c]() for c in columns})

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.bodies import body_tokens
-from .meta import SUMMARY, entries_meta
+from ..sources.tables import latest_entries, stage
+from .meta import SUMMARY, entries_meta, with_meta
 
 
 @dataclass(frozen=True)
@@ -107,8 +108,10 @@ def condition(f: Filters) -> Column:
 def filtered(entries: DataFrame, f: Filters, columns: tuple[str, ...] = ("url", "ts_ms")) -> DataFrame:
     """entry_id and ``columns`` of the entries that meet the filters."""
     wanted = [c for c in columns if c != "entry_id"]
-    kept = entries_meta(entries, sorted({*wanted, *needed_columns(f)}))
-    return kept.where(condition(f)).select("entry_id", *wanted)
+    flat = with_meta(entries, sorted({*wanted, *needed_columns(f)}))
+    # the filters are decided before the shuffle, so bodies and headers that they read are not moved
+    kept = latest_entries(flat, {**{c: F.col(c) for c in wanted}, "_meets": condition(f)})
+    return kept.where("_meets").select("entry_id", *wanted)
 
 
 def _body_tokens(most: int | None) -> Callable[..., pd.Series]:
@@ -147,27 +150,30 @@ def search(entries: DataFrame, query: str = "", f: Filters = Filters(), limit: i
         kept = kept.withColumn("_body", none)
     for t in dict.fromkeys(asked):
         kept = kept.where(F.array_contains("_url", t) | F.array_contains("_head", t) | F.array_contains("_body", t))
-    lo, hi = kept.agg(F.min("ts_ms"), F.max("ts_ms")).first()  # the span of the hits: two numbers
     n = max(len(asked), 1)
-    found = {k: text.hits(asked, F.col(c)) for k, c in (("url", "_url"), ("header", "_head"), ("body", "_body"))}
+    marks = F.array_compact(F.array(*[F.when(F.array_contains("_url", t), F.lit(t)) for t in asked])) if asked else none
+    parts = (("url", "_url"), ("header", "_head"), ("body", "_body"))
+    # the hits are found once; the span of their times is read from what was written
+    kept = stage(kept.select("entry_id", *SUMMARY, marks.alias("_marks"), *[text.hits(asked, F.col(c)).alias(f"_n{k}") for k, c in parts]), "hits")
+    lo, hi = kept.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    found = {k: F.col(f"_n{k}") for k, _ in parts}
     recency = (F.col("ts_ms") - (lo or 0)) / F.lit(max((hi or 0) - (lo or 0), 1))
     score = found["url"] / n * 0.4 + found["header"] / n * 0.3 + found["body"] / n * 0.2 + recency * 0.3
     score = score + F.lit((0.1 if f.method else 0.0) + (0.2 if f.header_name else 0.0) + 0.1)
-    marks = F.array_compact(F.array(*[F.when(F.array_contains("_url", t), F.lit(t)) for t in asked])) if asked else none
     where = F.array_compact(F.array(*[F.when(v > 0, F.lit(k)) for k, v in found.items()]))
     ranked = kept.select(
-        "entry_id", *SUMMARY, F.round(score, 6).alias("score"), F.array_join(marks, ",").alias("highlights"), F.array_join(where, ",").alias("matched_in")
+        "entry_id", *SUMMARY, F.round(score, 6).alias("score"), F.array_join("_marks", ",").alias("highlights"), F.array_join(where, ",").alias("matched_in")
     )
     ranked = ranked.orderBy(F.desc("score"), "entry_id")
     if offset:
         ranked = ranked.offset(offset)
-    return ranked.limit(min(limit, 10_000)) if limit is not None else ranked
+    return ranked.limit(limit) if limit is not None else ranked
 
 
 def body_matches(entries: DataFrame, needle: str, context: int = 50, limit: int | None = None) -> DataFrame:
     """Where a text occurs in bodies: the request first, then the response, with the text around the first hit."""
     low = needle.lower()
-    kept = entries_meta(entries, ("url", "req_body", "resp_body"))
+    flat = with_meta(entries, ("url", "req_body", "resp_body"))
     req, resp = (F.make_valid_utf8(F.col(c).cast("string")) for c in ("req_body", "resp_body"))
     in_req = F.coalesce(F.contains(F.lower(req), F.lit(low)), F.lit(False))
     in_resp = F.coalesce(F.contains(F.lower(resp), F.lit(low)), F.lit(False))
@@ -175,5 +181,8 @@ def body_matches(entries: DataFrame, needle: str, context: int = 50, limit: int
     at = F.instr(F.lower(body), low)
     start = F.greatest(at - context, F.lit(1))
     snippet = F.substring(body, start, at - start + len(needle) + context)
-    out = kept.where(in_req | in_resp).select("entry_id", "url", F.when(in_req, "request").otherwise("response").alias("target"), snippet.alias("snippet")).orderBy("entry_id")
+    target = F.when(in_req, "request").when(in_resp, "response")
+    # only the text around a hit is shuffled
+    kept = latest_entries(flat, {"url": F.col("url"), "target": target, "snippet": F.when(target.isNotNull(), snippet)})
+    out = kept.where("target is not null").select("entry_id", "url", "target", "snippet").orderBy("entry_id")
     return out if limit is None else out.limit(limit)

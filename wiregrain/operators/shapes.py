@@ -17,7 +17,7 @@ from ..functions import bodies, headers, jsonkit, outlines
 from ..functions.schemas import Shape
 from ..sources.tables import latest_entries, stage
 from .catalog import KEY, cluster_id
-from .meta import META
+from .meta import META, with_meta
 
 _MOST_GROUPS = 2_000
 
@@ -200,20 +200,17 @@ def body_shapes(entries: DataFrame, target: str = "response", sample: int | None
 
 def html_tag_counts(entries: DataFrame) -> DataFrame:
     """Tags of all HTML responses per cluster: n and the number of pages that have the tag."""
-    from .bodyquery import decoded_bodies
-
-    keys = latest_entries(entries, {k: META[k]() for k in KEY}).select("entry_id", cluster_id().alias("cluster_id"))
-    pages = decoded_bodies(entries).where("content_type rlike '(?i)^(text/html|application/xhtml)' and body is not null").select("entry_id", "body")
+    kind = headers.first_value(F.col("response.headers"), "content-type")
+    page = F.when(kind.rlike("(?i)^(text/html|application/xhtml)"), F.expr("try_to_binary(response.body, 'base64')"))
+    flat = with_meta(entries.withColumn("_page", page), KEY, "_page").select("entry_id", "ingested_at", cluster_id().alias("cluster_id"), "_page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags, counts = [], [], []
-            for entry, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for tag, n in outlines.HtmlOutline.of(raw.decode("utf-8", "replace")).tags.items():
-                    ids.append(entry)
-                    tags.append(jsonkit.clean(tag))
-                    counts.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(tags, pa.string()), pa.array(counts, pa.int64())], names=["entry_id", "tag", "n"])
-
-    found = pages.mapInArrow(run, "entry_id string, tag string, n bigint")
-    return found.join(keys, "entry_id").groupBy("cluster_id", "tag").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_pages"))
+            found = [None if raw is None else [{"tag": jsonkit.clean(t), "n": n} for t, n in outlines.HtmlOutline.of(raw.decode("utf-8", "replace")).tags.items()] for raw in batch.column(3).to_pylist()]
+            tags = pa.array(found, pa.list_(pa.struct([("tag", pa.string()), ("n", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], tags], names=["entry_id", "ingested_at", "cluster_id", "tags"])
+
+    # tags are counted before the latest delivery is chosen, so pages are not shuffled
+    counted = flat.mapInArrow(run, f"entry_id string, ingested_at {dict(flat.dtypes)['ingested_at']}, cluster_id string, tags array<struct<tag:string,n:bigint>>")
+    kept = latest_entries(counted, {"cluster_id": F.col("cluster_id"), "tags": F.col("tags")})
+    return kept.select("cluster_id", F.explode("tags").alias("t")).groupBy("cluster_id", "t.tag").agg(F.sum("t.n").alias("n"), F.count(F.lit(1)).alias("n_pages"))

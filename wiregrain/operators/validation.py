@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonkit import clean
 from ..functions.schemas import parse_schema, validate
-from .bodyquery import decoded_bodies
-
-_SCHEMA = "entry_id string, target string, status string, errors array<string>"
+from .bodyquery import per_body, sides_of
 
 
 def validate_bodies(entries: DataFrame, schema_text: str, notation: str, target: str = "response") -> DataFrame:
@@ -22,20 +17,13 @@ def validate_bodies(entries: DataFrame, schema_text: str, notation: str, target:
     """
     schema = parse_schema(schema_text, notation)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            status, errors = [], []
-            for _, _, kind, has, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if not has or body is None or "json" not in kind.lower():
-                    status.append("skipped")
-                    errors.append(["empty" if not has else "not base64" if body is None else f"not JSON: {kind}"])
-                    continue
-                found = validate(body.decode("utf-8", "replace"), schema)
-                status.append("failed" if found else "matching")
-                errors.append([clean(e) for e in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status, pa.string()), pa.array(errors, pa.list_(pa.string()))], names=["entry_id", "target", "status", "errors"])
-
-    return decoded_bodies(entries, target).mapInArrow(run, _SCHEMA)
+    def each(kind: str, has: bool, body: bytes | None) -> list[tuple]:
+        if not has or body is None or "json" not in kind.lower():
+            return [("skipped", ["empty" if not has else "not base64" if body is None else clean(f"not JSON: {kind}")])]
+        found = validate(body.decode("utf-8", "replace"), schema)
+        return [("failed" if found else "matching", [clean(e) for e in found])]
+
+    return per_body(entries, sides_of(target), lambda: each, "status string, errors array<string>")
 
 
 def validation_summary(found: DataFrame) -> DataFrame:

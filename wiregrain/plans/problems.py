@@ -71,6 +71,73 @@ _LATEST = """latest as (
   from clusters group by all
 )"""
 
+_SHAPES = r"""latest as (
+  select *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as raw_path from entries where entry_id is not null qualify row_number() over (partition by entry_id order by ingested_at desc) = 1
+), bodies as (
+  select session_id, lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '')) as host, request.method as method,
+    array_to_string(list_transform(string_split(url_decode(replace(raw_path, '+', '%2B')), '/'), lambda s:
+      case when regexp_full_match(lower(s), '[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}') then '{uuid}' when regexp_full_match(s, '[0-9]+') then '{id}' when regexp_full_match(lower(s), '[0-9a-f]{8,}') then '{hex}' else s end), '/') as path_template,
+    file_no, entry_id, try(decode(from_base64(response.body))) as t
+  from latest where response.status_code = 200 and file_no is not null
+), usable as (
+  select substr(sha256(concat(session_id, chr(0), host, chr(0), method, chr(0), path_template)), 1, 16) as cluster_id, file_no, entry_id, json(t) as j, cast(json_extract(json(t), '$.id') as varchar) as rec_id
+  from bodies where t is not null and json_valid(t) and json_type(json(t)) = 'OBJECT' and json_exists(json(t), '$.id')
+), nodes as (
+  select cluster_id, file_no, entry_id, rec_id, '' as path, j as v, true as inner_node, [0::ubigint] as place from usable
+  union all
+  select n.cluster_id, n.file_no, n.entry_id, n.rec_id, case when json_type(n.v) = 'ARRAY' then n.path || chr(30) when n.path = '' then e.key else n.path || chr(31) || e.key end, e.value, json_type(n.v) = 'ARRAY', list_append(n.place, e.id)
+  from nodes n, json_each(n.v) e
+  where json_type(n.v) = 'OBJECT' or (json_type(n.v) = 'ARRAY' and not n.inner_node and json_type(e.value) = 'OBJECT')
+), fields as (
+  select cluster_id, file_no, entry_id, rec_id, path, v, place, case json_type(v) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then null else 'number' end as type
+  from nodes where not inner_node
+), known as (
+  select cluster_id, file_no, path, coalesce(list_sort(list(distinct type) filter (type is not null)), []) as types from fields group by all
+)"""
+
+_CHANGES = f"""with recursive {_SHAPES}, files as (
+  select cluster_id, file_no, lag(file_no) over (partition by cluster_id order by file_no) as prev_no from (select distinct cluster_id, file_no from usable)
+), pairs as (
+  select cluster_id, file_no, path, max(before) as before, max(now) as now from (
+    select f.cluster_id, f.file_no, k.path, null as before, k.types as now from files f join known k on k.cluster_id = f.cluster_id and k.file_no = f.file_no where prev_no is not null
+    union all select f.cluster_id, f.file_no, k.path, k.types, null from files f join known k on k.cluster_id = f.cluster_id and k.file_no = f.prev_no) group by all
+), changed as (
+  select * from pairs where before is null or now is null or (before <> now and len(before) > 0 and len(now) > 0)
+), topmost as (
+  select * from changed c where not exists (select 1 from changed a where a.cluster_id = c.cluster_id and a.file_no = c.file_no and (starts_with(c.path, a.path || chr(31)) or starts_with(c.path, a.path || chr(30))))
+), moved as (
+  select t.cluster_id, t.file_no, f.prev_no, t.path, regexp_replace(t.path, '(^|' || chr(31) || ')[^' || chr(31) || ']*$', '') as parent, coalesce(before, now) as types, now is not null as is_new
+  from topmost t join files f using (cluster_id, file_no) where before is null or now is null
+), held as (
+  select cluster_id, file_no, rec_id, path, list(distinct vs) as alternatives, count(*) as n from (
+    select cluster_id, file_no, rec_id, entry_id, path, list(cast(v as varchar) order by place) as vs from fields group by all) group by all
+), records as (
+  select cluster_id, file_no, rec_id, count(distinct entry_id) as n from usable group by all
+), shared as (
+  select f.cluster_id, f.file_no, f.prev_no, a.rec_id, a.n as n_now, b.n as n_before from files f join records a on a.cluster_id = f.cluster_id and a.file_no = f.file_no join records b on b.cluster_id = f.cluster_id and b.file_no = f.prev_no and b.rec_id = a.rec_id
+), candidates as (
+  select o.cluster_id, o.file_no, o.prev_no, o.parent, o.types, o.path as field_path, n.path as new_path from moved o join moved n using (cluster_id, file_no, parent, types) where not o.is_new and n.is_new
+), fitting as (
+  select c.cluster_id, c.file_no, c.field_path, c.new_path, count(*) filter (x.rec_id is not null or y.rec_id is not null) as n_held,
+    count(*) filter (len(x.alternatives) = 1 and len(y.alternatives) = 1 and x.alternatives = y.alternatives and x.n = s.n_before and y.n = s.n_now) as n_equal
+  from candidates c join shared s on s.cluster_id = c.cluster_id and s.file_no = c.file_no
+  left join held x on x.cluster_id = c.cluster_id and x.file_no = c.prev_no and x.rec_id = s.rec_id and x.path = c.field_path
+  left join held y on y.cluster_id = c.cluster_id and y.file_no = c.file_no and y.rec_id = s.rec_id and y.path = c.new_path
+  group by all having n_held > 0 and n_held = n_equal
+), renamed as (
+  select * from fitting qualify row_number() over (partition by cluster_id, file_no, field_path order by n_equal desc, new_path) = 1 and row_number() over (partition by cluster_id, file_no, new_path order by n_equal desc, field_path) = 1
+), listed as (
+  select cluster_id, file_no, case when before is null then 'added' when now is null then 'removed' else 'type_changed' end as change, path as field_path, '' as new_path from topmost t
+  where not exists (select 1 from renamed r where r.cluster_id = t.cluster_id and r.file_no = t.file_no and t.path in (r.field_path, r.new_path))
+  union all select cluster_id, file_no, 'renamed', field_path, new_path from renamed
+)
+select cluster_id, file_no, change, replace(replace(field_path, chr(30), '[]'), chr(31), '.') as field_path, replace(replace(new_path, chr(30), '[]'), chr(31), '.') as new_path from listed"""
+
+_SCHEMAS = f"""with recursive {_SHAPES}, tagged as (
+  select cluster_id, path, list_filter(['string', 'number', 'boolean', 'object', 'array'], lambda x: list_contains(flatten(list(types)), x)) as tags, min(file_no) as first_file, max(file_no) as last_file, count(*) as n_files from known group by all
+)
+select cluster_id, replace(replace(path, chr(30), '[]'), chr(31), '.') as field_path, array_to_string(tags, '|') as alternatives, case when len(tags) = 1 then tags[1] else 'string' end as canonical_type, first_file, last_file, n_files from tagged"""
+
 _SPAN = r'''"(?:[^"\\]|\\.|"")*"|<[^<>]*>'''
 
 _PACKED = rf"""with latest as (
@@ -105,6 +172,8 @@ _OBJECTS = rf"""with recursive texts as (
 select distinct source, record_id, ptr as node_path, owner as parent_path from nodes where json_type(v) = 'OBJECT' and ptr <> ''"""
 
 ORACLES: dict[str, str] = {
+    "p1_found": _CHANGES,
+    "p1_cluster_schemas": _SCHEMAS,
     "p3_found": _PACKED,
     "p5_found": _OBJECTS,
     "p4_found": f"""with {_LATEST}

@@ -5,25 +5,36 @@
     spark.read.format("capture").option("base_url", url).option("session", id).load()
     spark.readStream.format("capture").option("base_url", url).option("session", id).load()
 
-Rows are in the layout of the ``entries`` table. A batch read lists the ids of
-the session and fetches slices of them in parallel tasks; entries that cannot
-be fetched are left out. A stream polls the id list: what is appended is new;
-if the list shrank or its known end changed, its last ``tail_limit`` ids are
-read again.
+Rows are in the layout of the ``entries`` table. Ids of the session are cut
+into slices, which parallel tasks fetch, in batch and in a stream alike. An
+entry that the service no longer has is left out; any other failure is tried
+again with growing pauses and then fails the task, so Spark tries it anew and
+no offset moves past an entry that was not read.
+
+A stream polls the id list: what is appended is new; if the list shrank or its
+known end changed, the list is read from its start (of copies of an entry the
+latest delivery counts). ``tail_limit`` > 0 restricts such reads to the end of
+the list.
+
+Further tables are read with the option ``what``: sessions; bookmarks (ids of
+a session); listed (ids that are selected, bookmarked or highlighted); tls
+(events of the option ``connections``); http2 (frames of all streams of the
+connections, or of the option ``stream``).
 """
 
 from __future__ import annotations
 
 import json
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 ENTRY_SCHEMA = (
     "entry_id string, session_id string, capture_file string, file_no int, url string, http_version string, transaction_type string, "
@@ -32,7 +43,15 @@ ENTRY_SCHEMA = (
     "timings struct<started_at:bigint,blocked:bigint,wait:bigint,receive:bigint>, process struct<pid:int,name:string>, "
     "tls struct<connection_id:string,tls_version:int,ja3_hash:string,ja4_hashed:string>, http2 struct<connection_id:string,stream_id:int>, ingested_at timestamp"
 )
-SESSION_SCHEMA = "session_id string, name string, entry_ids array<string>"
+#: schema by what is read
+SCHEMAS = {
+    "entries": ENTRY_SCHEMA,
+    "sessions": "session_id string, name string, entry_ids array<string>",
+    "bookmarks": "session_id string, entry_id string",
+    "listed": "session_id string, entry_id string",
+    "tls": "connection_id string, event_no int, side string, message_type string, message string",
+    "http2": "connection_id string, stream_id int, frame_no int, frame_type string, frame string",
+}
 
 
 class SourceError(Exception):
@@ -140,14 +159,29 @@ def entry_row(entry: dict, session: str) -> tuple:
     )
 
 
-def fetch(client: CaptureClient, session: str, keys: list[str], workers: int) -> Iterator[tuple]:
-    """Rows of the entries that can be fetched, in order."""
+def patient(call: Callable[[], object], retries: int = 4, pause: float = 0.2) -> object | None:
+    """The result of a call; nothing where the service has none (404). Other failures are tried again, then raised."""
+    for attempt in range(retries + 1):
+        try:
+            return call()
+        except SourceError as e:
+            if e.status == 404:
+                return None
+            if attempt == retries:
+                raise
+        except (OSError, ValueError):
+            if attempt == retries:
+                raise
+        time.sleep(pause * 2**attempt)
+    return None
+
+
+def fetch(client: CaptureClient, session: str, keys: list[str], workers: int, retries: int = 4) -> Iterator[tuple]:
+    """Rows of the entries that the service has, in order."""
 
     def one(key: str) -> tuple | None:
-        try:
-            return entry_row(client.entry(session, key), session)
-        except (SourceError, OSError, ValueError):
-            return None
+        found = patient(lambda: client.entry(session, key), retries)
+        return None if found is None else entry_row(found, session)
 
     with ThreadPoolExecutor(workers) as pool:
         yield from filter(None, pool.map(one, keys))
@@ -158,73 +192,116 @@ class _Slice(InputPartition):
         self.session, self.keys = session, keys
 
 
-class _Reader(DataSourceReader):
+class _Source:
+    """Options and slices common to batch and stream."""
+
     def __init__(self, options: dict):
         self.options = options
         self.client = CaptureClient(options.get("base_url", "http://localhost:7777"), float(options.get("timeout", 10)))
+        self.session = options.get("session", "active")
+
+    def slices(self, session: str, keys: list[str]) -> list[InputPartition]:
+        size = int(self.options.get("slice", 1000))
+        return [_Slice(session, keys[i : i + size]) for i in range(0, len(keys), size)] or [_Slice(session, [])]
+
+    def rows(self, part: _Slice) -> Iterator[tuple]:
+        return fetch(self.client, part.session, part.keys, int(self.options.get("fetch_workers", 16)), int(self.options.get("retries", 4)))
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.source = _Source(options)
 
     def partitions(self) -> list[InputPartition]:
-        if self.options.get("what") == "sessions":
+        source, what = self.source, self.source.options.get("what", "entries")
+        if what in ("tls", "http2"):
+            return [_Slice("", [c]) for c in source.options.get("connections", "").split(",") if c] or [_Slice("", [])]
+        if what != "entries":
             return [_Slice("", [])]
-        session = self.client.session(self.options.get("session", "active"))
-        keys, size = session.get("entryIds") or [], int(self.options.get("slice", 1000))
-        return [_Slice(session["id"], keys[i : i + size]) for i in range(0, len(keys), size)] or [_Slice(session["id"], [])]
+        session = source.client.session(source.session)
+        return source.slices(session["id"], session.get("entryIds") or [])
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        if self.options.get("what") == "sessions":
-            yield from ((s["id"], s.get("name"), s.get("entryIds")) for s in self.client.sessions())
-            return
-        yield from fetch(self.client, partition.session, partition.keys, int(self.options.get("fetch_workers", 16)))
-
-
-def new_keys(keys: list[str], known: int, tail: str, tail_limit: int) -> tuple[list[str], bool]:
-    """What to read of an id list, given how long it was and how it ended; and whether it was read anew."""
+        source, client = self.source, self.source.client
+        options, what = source.options, source.options.get("what", "entries")
+        if what == "entries":
+            yield from source.rows(partition)
+        elif what == "sessions":
+            yield from ((s["id"], s.get("name"), s.get("entryIds")) for s in client.sessions())
+        elif what == "bookmarks":
+            session = client.session(source.session)["id"]
+            yield from ((session, key) for key in client.bookmarks(session))
+        elif what == "listed":
+            session = client.session(source.session)["id"]
+            colours = tuple(c for c in options.get("highlighted", "").split(",") if c)
+            found = client.entries(session, options.get("selected") == "true", options.get("bookmarked") == "true", colours)
+            yield from ((session, e["id"]) for e in found)
+        elif what == "tls":
+            for connection in partition.keys:
+                for n, event in enumerate(patient(lambda c=connection: client.tls(c)) or []):
+                    yield connection, n, event.get("side"), message_type(event), json.dumps(event.get("msg"), ensure_ascii=False)
+        else:
+            for connection in partition.keys:
+                streams = [int(options["stream"])] if options.get("stream") else patient(lambda c=connection: client.http2_streams(c)) or []
+                for stream in streams:
+                    for n, frame in enumerate(patient(lambda c=connection, s=stream: client.http2_frames(c, s)) or []):
+                        yield connection, stream, n, frame.get("type"), json.dumps(frame, ensure_ascii=False)
+
+
+def message_type(event: dict) -> str | None:
+    """The handshake message of a TLS event, else its content type."""
+    message = event.get("msg") or {}
+    return (message.get("handshake") or {}).get("type") or message.get("type")
+
+
+def new_keys(keys: list[str], known: int, tail: str, tail_limit: int = 0) -> tuple[list[str], bool]:
+    """What to read of an id list, given how long it was and how it ended; and whether it is read anew."""
     if known and (len(keys) < known or keys[known - 1] != tail):
         known = 0
-    return (keys[known:], False) if known else (keys[-tail_limit:], True)
+    return (keys[known:], False) if known else (keys[-tail_limit:] if tail_limit > 0 else keys, True)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
+class _StreamReader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.options = options
-        self.client = CaptureClient(options.get("base_url", "http://localhost:7777"), float(options.get("timeout", 10)))
-        self.workers = int(options.get("fetch_workers", 16))
+        self.source = _Source(options)
+        self.tail_limit = int(options.get("tail_limit", 0))
 
     def initialOffset(self) -> dict:
         return {"known": 0, "tail": ""}
 
-    def _rows(self, keys: list[str]) -> Iterator[tuple]:
-        session = self.client.session(self.options.get("session", "active"))["id"]
-        return fetch(self.client, session, keys, self.workers)
+    def latestOffset(self) -> dict:
+        keys = self.source.client.session(self.source.session).get("entryIds") or []
+        return {"known": len(keys), "tail": keys[-1] if keys else ""}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        keys = self.client.session(self.options.get("session", "active")).get("entryIds") or []
-        wanted, _ = new_keys(keys, start["known"], start["tail"], int(self.options.get("tail_limit", 20_000)))
-        return self._rows(wanted), {"known": len(keys), "tail": keys[-1] if keys else ""}
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        session = self.source.client.session(self.source.session)
+        keys = (session.get("entryIds") or [])[: end["known"]]
+        return self.source.slices(session["id"], new_keys(keys, start["known"], start["tail"], self.tail_limit)[0])
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        keys = (self.client.session(self.options.get("session", "active")).get("entryIds") or [])[: end["known"]]
-        wanted, _ = new_keys(keys, start["known"], start["tail"], int(self.options.get("tail_limit", 20_000)))
-        return self._rows(wanted)
+    def read(self, partition: _Slice) -> Iterator[tuple]:
+        return self.source.rows(partition)
 
     def commit(self, end: dict) -> None:
         """The service keeps its entries."""
 
 
 class CaptureDataSource(DataSource):
-    """Format ``capture``: options base_url, session, what (entries or sessions), slice, fetch_workers, tail_limit, timeout."""
+    """Format ``capture``: options base_url, session, what, connections, stream, selected, bookmarked, highlighted, slice, fetch_workers, retries, tail_limit, timeout."""
 
     @classmethod
     def name(cls) -> str:
         return "capture"
 
     def schema(self) -> str:
-        return SESSION_SCHEMA if self.options.get("what") == "sessions" else ENTRY_SCHEMA
+        what = self.options.get("what", "entries")
+        if what not in SCHEMAS:
+            raise ValueError(f"what must be one of {', '.join(SCHEMAS)}")
+        return SCHEMAS[what]
 
     def reader(self, schema: object) -> DataSourceReader:
         return _Reader(dict(self.options))
 
-    def simpleStreamReader(self, schema: object) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: object) -> DataSourceStreamReader:
         return _StreamReader(dict(self.options))
 
 
