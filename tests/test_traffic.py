@@ -167,6 +167,33 @@ def test_long_pages_and_deep_fields(entries_of):
     assert len(found) == 9 and found["a.b.c.d.e.f.g.h.i"] == "integer"
 
 
+def test_field_names_with_dots_and_brackets(entries_of):
+    body = {"a.b": 1, "a": {"b": "x"}, "c[]": 2, "l": [{"k.[]": True}], "o": {"z": [1, 2]}}
+    found = sorted((r["path"], r["type"], r["frequency"]) for r in infer.field_stats(entries_of([make_entry("a", response={"body": body})])).collect())
+    assert found == [("a", "object", 1.0), ("a.b", "integer", 1.0), ("a.b", "string", 1.0), ("c[]", "integer", 1.0), ("l", "array", 1.0), ("l[].k.[]", "boolean", 1.0), ("o", "object", 1.0), ("o.z", "array", 1.0)]
+
+
+def test_field_values_are_told_apart(entries_of):
+    bodies = [{"o": {"x": 1, "y": [1, 2]}}, {"o": {"y": [1.0, 2], "x": 1}}, {"o": {"x": 1, "y": [2, 1]}}, {"o": {"x": "1", "y": [1, 2]}}]
+    (o,) = (r for r in infer.field_stats(entries_of([make_entry(f"e{i}", ts=i, response={"body": b}) for i, b in enumerate(bodies)])).collect() if r["path"] == "o")
+    assert o["distinct_count"] == 3
+
+
+def test_results_follow_the_latest_delivery(entries_of):
+    """Work is done on every delivery, and the latest one's result counts, also if it has none."""
+    from datetime import datetime
+
+    def sent(key, day, body, kind="application/json"):
+        return make_entry(key, response={"body": body, "headers": [["Content-Type", kind]]}, at=datetime(2025, 1, day))
+
+    df = entries_of([sent("a", 1, {"v": 1}), sent("a", 2, {"v": 2}), sent("b", 1, {"v": 3}), sent("b", 2, "gone", "text/plain"), sent("c", 1, "<p>x</p>", "text/html"), sent("c", 2, "<i>x</i>", "text/html"), sent("a", 2, {"v": 2})])
+    assert rows(bodyquery.json_path_values(df, ".v")) == [("a", "2")]
+    assert rows(bodyquery.values_of(bodyquery.query_bodies(df, ".v", "jq"))) == [("a", "response", 0, "2")]
+    assert rows(bodyquery.regex_values(df, r'"v":\s*(\d)', 1)) == [("a", 0, "2")]
+    assert {r["tag"] for r in shapes.html_tag_counts(df).collect()} & {"i", "p"} == {"i"}
+    assert rows(search.filtered(df, Filters(body_contains='"v": 1'), ())) == [] and rows(search.body_matches(df, "gone", 0)) == [("b", "https://api.x.example/v1/users/7", "response", "gone")]
+
+
 def test_body_shapes_hold_all_bodies(entries_of):
     def many(path, kind, body_of, n=30):
         return [make_entry(f"{path}{i:02}", ts=i, url=f"https://h.x/{path}", response={"body": body_of(i), "headers": [["content-type", kind]] if kind and i != 5 else []}) for i in range(n)]
@@ -238,7 +265,7 @@ def test_streaming_in_steps(spark, entries_of, tmp_path):
 
 @pytest.fixture(scope="module")
 def service():
-    keys = [f"k{i}" for i in range(5)]
+    keys, failures = [f"k{i}" for i in range(5)], [1, 1]
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):  # noqa: N802
@@ -250,8 +277,21 @@ def service():
                 answer = {"id": "s1", "name": "one", "entryIds": keys}
             elif parts[:1] == ["sessions"] and parts[2:3] == ["entries"] and len(parts) == 4 and parts[3] != "k3":
                 answer = {"id": parts[3], "url": "https://h.x/a", "httpVersion": "h2", "request": {"method": "GET", "headers": [["a", "b"]], "body": b64("x")}, "response": None, "tls": {"connectionId": "c", "ja3": {"hash": "j"}}, "timings": {"startedAt": 5}}
+            elif parts == ["sessions", "s1", "bookmarks"]:
+                answer = ["k1"]
+            elif parts == ["sessions", "s1", "entries"]:
+                answer = [{"id": "k2"}] if "selected" in self.path else [{"id": "k0"}, {"id": "k2"}]
             elif parts == ["http2", "c"]:
                 answer = [1, 3]
+            elif parts[:3] == ["http2", "c", "streams"]:
+                answer = [{"type": "HEADERS", "n": int(parts[3])}, {"type": "DATA"}]
+            elif parts == ["tls", "c"]:
+                answer = [{"side": "client", "msg": {"handshake": {"type": "client_hello"}}}, {"side": "server", "msg": {"type": "alert"}}]
+            if parts[-1] == "k4" and failures:
+                failures.pop()
+                self.send_response(503)
+                self.end_headers()
+                return
             raw = json.dumps({"error": "nothing here"} if answer is None else answer).encode()
             self.send_response(404 if answer is None else 200)
             self.end_headers()
@@ -284,19 +324,65 @@ def test_live_source(spark, service):
 
 
 def test_live_stream_offsets(service):
-    assert live.new_keys(["a", "b", "c"], 0, "", 2) == (["b", "c"], True)
+    assert live.new_keys(["a", "b", "c"], 0, "", 2) == (["b", "c"], True) and live.new_keys(["a", "b", "c"], 0, "") == (["a", "b", "c"], True)
     assert live.new_keys(["a", "b", "c"], 2, "b", 9) == (["c"], False)
     assert live.new_keys(["a"], 2, "b", 9) == (["a"], True)
     assert live.new_keys(["x", "y", "z"], 2, "b", 9) == (["x", "y", "z"], True)
     url, keys = service
-    reader = live.CaptureDataSource({"base_url": url}).simpleStreamReader(None)
-    got, end = reader.read(reader.initialOffset())
-    assert [r[0] for r in got] == ["k0", "k1", "k2", "k4"] and end == {"known": 5, "tail": "k4"}
+    reader = live.CaptureDataSource({"base_url": url, "slice": "2"}).streamReader(None)
+    end = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), end)
+    assert len(parts) == 3 and end == {"known": 5, "tail": "k4"}
+    assert [r[0] for p in parts for r in reader.read(p)] == ["k0", "k1", "k2", "k4"]
     keys.append("k5")
-    assert [r[0] for r in reader.read(end)[0]] == ["k5"]
+    assert [r[0] for p in reader.partitions(end, reader.latestOffset()) for r in reader.read(p)] == ["k5"]
     keys.pop()
 
 
+def test_live_stream(spark, service, tmp_path):
+    live.register(spark)
+    url, keys = service
+    stream = spark.readStream.format("capture").option("base_url", url).option("slice", "2").load()
+    sink = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
+    sink.trigger(once=True).start().awaitTermination(60)
+    keys.append("k6")
+    sink.trigger(once=True).start().awaitTermination(60)
+    keys.pop()
+    assert sorted(r["entry_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["k0", "k1", "k2", "k4", "k6"]
+
+
+def test_live_failures_are_tried_again():
+    left = [1, 2]
+
+    def flaky():
+        if left:
+            left.pop()
+            raise live.SourceError(503, "busy")
+        return "ok"
+
+    assert live.patient(flaky, retries=2, pause=0) == "ok"
+    left.extend([1, 2, 3])
+    with pytest.raises(live.SourceError):
+        live.patient(flaky, retries=2, pause=0)
+
+    def gone():
+        raise live.SourceError(404, "none")
+
+    assert live.patient(gone) is None
+
+
+def test_live_engine(spark, service):
+    url, _ = service
+    engine = Engine.live(spark, url, "s1")
+    assert rows(engine.bookmarked()) == [("s1", "k1")] and rows(engine.listed(selected=True)) == [("s1", "k2")]
+    assert [r["entry_id"] for r in engine.search_entries(among=engine.listed()).collect()] == ["k0", "k2"]
+    assert [tuple(r)[:4] for r in engine.get_tls("c").collect()] == [("c", 0, "client", "client_hello"), ("c", 1, "server", "alert")]
+    assert [tuple(r)[:4] for r in engine.http2_frames("c").collect()] == [("c", 1, 0, "HEADERS"), ("c", 1, 1, "DATA"), ("c", 3, 0, "HEADERS"), ("c", 3, 1, "DATA")]
+    assert engine.http2_frames("c", 3).count() == 2 and engine.sessions_list().count() == 1
+    with pytest.raises(EngineError):
+        Engine(spark, {}).bookmarked()
+
+
 # -- engine -----------------------------------------------------------------------
 
 
@@ -316,6 +402,7 @@ def test_engine_tools(engine):
     with pytest.raises(EngineError):
         engine.get_entry("none")
     cluster = engine.extract_endpoints(limit=1).first()["cluster_id"]
+    assert "endpoints" in engine.endpoints_hint(engine.extract_endpoints(limit=1))
     assert set(engine.describe_endpoint(cluster)) == {"headers", "auth", "query_keys", "request_shape", "response_shape", "examples"}
     assert engine.query_body(".id", cluster).columns == ["entry_id", "target", "pos", "value"]
     with pytest.raises(EngineError):
@@ -371,10 +458,10 @@ def test_cluster_store(spark, entries_of, tmp_path):
 def test_hints():
     from wiregrain import hints
 
-    assert "offset=10" in hints.search(30, 10) and hints.search(5, 5) == "" and "No entries" in hints.search(0, 0)
+    assert "offset=10" in hints.search(30, 10) and hints.search(5, 5) == "" and "Nothing found" in hints.search(0, 0)
     assert hints.endpoints(3, 2, {"api": 2, "page": 1}, 1).startswith("3 endpoints: 2 api, 1 page.")
-    assert "'.'" in hints.query(0, 3, "jq") and "Partial" in hints.query(2, 3, errors=1)
-    assert hints.graphql(["A"], "B") == "Operations with errors: A; inspect their section 'errors'. Use inspect_graphql_operation('B') for schema and fields."
+    assert "'.'" in hints.query(0, 3, "jq") and "1 bodies failed" in hints.query(2, 3, errors=1)
+    assert hints.graphql(["A"], "B") == "Failing operations: A (section 'errors'). inspect_graphql_operation('B') tells more."
 
 
 def test_config(monkeypatch):
