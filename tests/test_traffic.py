@@ -475,3 +475,15 @@ def test_plans_read_only_what_they_need(spark):
     plan = search.filtered(read_table(spark, f"{DATA}/sf0.001", "entries"), Filters(method="GET"))._jdf.queryExecution().executedPlan().toString()
     schema = next(line for line in plan.splitlines() if "ReadSchema" in line or "FileScan" in line)
     assert "body" not in schema and "headers" not in schema
+
+
+def test_categories_agree_in_plans_and_tasks(spark):
+    """The rules for content types stand once as expressions and once for Arrow batches; both say the same."""
+    from wiregrain.functions import bodies, content
+
+    kinds = ["", "text/html; charset=x", "application/xhtml+xml", "TEXT/XML", "image/svg+xml", "application/json;v=1", "application/ld+json", "text/yaml", "application/x-yaml", "text/csv", "text/tab-separated-values", "application/x-www-form-urlencoded", "text/plain", "image/png", "audio/mp3", "application/octet-stream", "application/pdf", "application/zip", "application/javascript", "application/wasm", "Video/mp4"]
+    texts = [b"plain", b"\xff\xfe\x00", "é".encode()]
+    made = [(k, bytearray(b)) for k in kinds for b in texts]
+    df = spark.createDataFrame(made, "kind string, body binary")
+    found = df.select("kind", "body", content.classify(F.col("kind")).alias("category"), content.is_binary(F.col("kind"), F.col("body")).alias("is_binary")).collect()
+    assert [(r["category"], r["is_binary"]) for r in found] == [(bodies.category(k), bodies.is_binary(k, bytes(b))) for k, b in made]

@@ -58,6 +58,9 @@ def _keys(scope: Column) -> Column:
     return F.concat(*[F.coalesce(p, none) for p in parts])
 
 
+_SALT = 16
+
+
 def flow_edges(nodes: DataFrame, per_session: bool = False) -> DataFrame:
     """Edges among the nodes: from_id, to_id, reason; each once.
 
@@ -84,8 +87,11 @@ def cookie_origins(nodes: DataFrame, per_session: bool = False) -> DataFrame:
     sets = nodes.select(scope.alias("scope"), "host", F.explode("set_cookies").alias("c"), "ts_ms", "entry_id")
     first = sets.groupBy("scope", "host", F.col("c.name").alias("name")).agg(F.min(F.struct("ts_ms", "entry_id")).alias("s"))
     uses = nodes.select(scope.alias("scope"), "host", F.explode("cookies").alias("c"), "ts_ms", "entry_id").select("scope", "host", F.col("c.name").alias("name"), "ts_ms", "entry_id")
+    # a hot host's cookie has one setter and most users: these meet it in as many places as there are salts
+    uses = uses.withColumn("_salt", F.pmod(F.xxhash64("entry_id"), F.lit(_SALT)).cast("int"))
+    first = first.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(_SALT)])))
     return (
-        uses.join(first, ["scope", "host", "name"])
+        uses.join(first, ["scope", "host", "name", "_salt"])
         .where((F.col("s.ts_ms") < F.col("ts_ms")) & (F.col("s.entry_id") != F.col("entry_id")))
         .select(F.col("s.entry_id").alias("from_id"), F.col("entry_id").alias("to_id"), F.lit("session_cookie_origin").alias("reason"))
         .distinct()

@@ -31,11 +31,12 @@ def eager_join_aggregate(
 
     Gives ``n_joined`` and a column per summed name. Null keys join nothing,
     as in SQL; with ``how='left'`` a left key without partner counts its own
-    rows once. ``rollup`` must be among the keys.
+    rows once. ``rollup`` names keys or further columns of the left input,
+    by which its states are kept apart.
     """
     keys, rollup = list(keys), list(rollup if rollup is not None else keys)
     known = [F.col(k).isNotNull() for k in keys]
-    a = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_na"), *[F.sum(c).alias(f"_a_{c}") for c in left_sums])
+    a = left.groupBy(*dict.fromkeys([*keys, *rollup])).agg(F.count(F.lit(1)).alias("_na"), *[F.sum(c).alias(f"_a_{c}") for c in left_sums])
     b = right
     for test in known:
         b = b.where(test)
@@ -94,6 +95,17 @@ def wrong_counts(entries: DataFrame, clusters: DataFrame) -> DataFrame:
     return known.where("cluster_id is not null and (least <> n_entries or most <> n_entries)").select("cluster_id").distinct()
 
 
+def host_header_sums(clusters: DataFrame, header_frequencies: DataFrame) -> DataFrame:
+    """Per host the header rows of its clusters and the sum of their frequencies, copies of either included.
+
+    A hot host has most clusters and so most joined rows; neither side sends
+    more than a state per cluster (and host).
+    """
+    left = clusters.select("cluster_id", _tidy_host().alias("host"))
+    found = eager_join_aggregate(left, header_frequencies.select("cluster_id", "frequency"), ["cluster_id"], right_sums=["frequency"], rollup=["host"])
+    return found.select("host", F.col("n_joined").alias("n_rows"), F.round("frequency", 3).alias("frequency"))
+
+
 def host_entry_counts(entries: DataFrame) -> DataFrame:
     """Entries, sessions and endpoints per host, rolled up from the endpoint states."""
     return (

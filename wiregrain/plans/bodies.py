@@ -43,6 +43,7 @@ QUERIES: dict[str, Query] = {
     "display_bodies": on(lambda e: bodyquery.compact_bodies(e).where("text <> ''").select("entry_id", F.sha2("text", 256).alias("text_hash"))),
     "json_schema_infer": on(infer.json_schemas),
     "json_field_stats": on(infer.field_stats),
+    "json_field_types": on(lambda e: infer.field_stats(e).select("cluster_id", "path", "type", "frequency", "required", "nullable")),
     "json_top_fields": on(_top_fields),
     "body_shapes": on(shapes.body_shapes),
     "html_tag_counts": on(shapes.html_tag_counts),

@@ -47,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "p4_found": _on("entries", "clusters")(skew.wrong_counts),
     "p4_cluster_counts": _on("entries", "clusters")(skew.cluster_entry_counts),
     "p4_host_counts": _on("entries")(skew.host_entry_counts),
+    "p4_host_headers": _on("clusters", "header_frequencies")(skew.host_header_sums),
     "p5_found": _on(*_NESTED)(nested.object_nodes),
     "p5_group_tables": _on(*_NESTED)(nested.capture_tables),
     "p5_group_rows": _on(*_NESTED)(nested.capture_groups),
@@ -182,6 +183,7 @@ where least <> coalesce(n_entries, 0) or most <> coalesce(n_entries, 0)""",
     "p4_cluster_counts": f"""with {_LATEST}
 select cluster_id, session_id, host, method, path_template, least, most, coalesce(n_entries, 0) as n_entries
 from stated left join counts using (session_id, host, method, path_template)""",
+    "p4_host_headers": """select lower(trim(host)) as host, count(*) as n_rows, round(sum(frequency), 3) as frequency from clusters join header_frequencies using (cluster_id) group by lower(trim(host))""",
     "p4_host_counts": f"""with {_LATEST}
 select host, cast(sum(n_entries) as bigint) as n_entries, count(distinct session_id) as n_sessions, count(*) as n_endpoints
 from counts group by host""",
