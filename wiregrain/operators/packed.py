@@ -389,9 +389,9 @@ def learn(fields: DataFrame, grammars: dict[str, Grammar], rounds: int = 2) -> S
         models = _maximise([*fixed, *_separations(now, most)], masses)
         shared = counts.where((F.col("n_fields") > 1) & (F.col("n_fields") < floor)).select("hash", "n")
         wanted = now.select("field_id", F.explode("hashes").alias("hash")).where(f"hash not in ({', '.join(str(h) + 'L' for h in (_NO_VALUE, *hot))})")
-        known = wanted.join(shared, "hash").groupBy("field_id").agg(F.collect_list(F.struct("hash", "n")).alias("known"))
+        known = wanted.join(shared.hint("merge"), "hash").groupBy("field_id").agg(F.collect_list(F.struct("hash", "n")).alias("known"))
         decide = step == rounds
-        met = now.join(known, "field_id", "left").select(*now.columns, "known").mapInArrow(_expect(models, hot, decide), _DECISION if decide else _FIELD)
+        met = now.join(known.hint("merge"), "field_id", "left").select(*now.columns, "known").mapInArrow(_expect(models, hot, decide), _DECISION if decide else _FIELD)
         now = stage(met, "packed-readings")
     heavy = F.col("n_rows") >= max(_HOT * n_rows, 1.0)
     odd_hot = {(r["name"], r["raw"]): r["separators"] for r in now.where(heavy).collect()}
