@@ -33,6 +33,17 @@ def test_contract(spark):
     assert entry_module.entry(spark).limit(1).count() == 1
 
 
+@pytest.mark.parametrize("name", "jq_select css_text regex_extract query_body_labels schema_validate graphql_operations html_tag_counts filter_body_contains search_body_matches header_rows p4_found p5_found".split())
+def test_building_runs_no_plan(spark, name):
+    """Building a query reads at most the footers of its tables; only queries that write a table first run jobs."""
+    sc = spark.sparkContext
+    sc.setJobGroup(f"build {name}", name)
+    QUERIES[name](spark, SF)
+    jobs = sc.statusTracker().getJobIdsForGroup(f"build {name}")
+    sc.setJobGroup("other", "other")
+    assert len(jobs) <= 3
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)

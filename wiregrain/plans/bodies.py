@@ -101,6 +101,32 @@ from (select entry_id, url_decode(replace(string_split(p, '=')[1], '+', ' ')) as
     "json_top_fields": sql(f"""select b.cluster_id, k.key as path, round(count(*) / any_value(t.n), 6) as frequency, count(*) = any_value(t.n) and count(*) filter (json_type(k.value) = 'NULL') = 0 as required, count(*) filter (json_type(k.value) = 'NULL') > 0 as nullable
 from b join (select cluster_id, count(*) as n from b group by 1 having bool_and(json_type(j) = 'OBJECT')) t using (cluster_id), json_each(b.j) k where k.key not like '%.%' group by b.cluster_id, k.key""",
         f", b as (select substr(sha256(concat(host, chr(0), method, chr(0), path_template)), 1, 12) as cluster_id, json(resp_text) as j from m where {_VALID})"),
+    "graphql_variable_values": sql("""select name, type, variable, coalesce(sum(1) filter (value is not null), 0)::bigint as unique_count,
+  case when coalesce(first(vt order by total desc, vt) filter (vt <> 'null'), 'null') in ('object', 'array') then '' else coalesce(string_agg(value || '=' || n, ',' order by n desc, value) filter (r <= 5), '') end as top_values
+from (select *, sum(n) over (partition by name, type, variable, vt) as total, case when value is not null then row_number() over (partition by name, type, variable, value is null order by n desc, value) end as r from (
+  select o.name, o.type, k.key as variable, case json_type(k.value) when 'VARCHAR' then 'string' when 'NULL' then 'null' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end as vt,
+    case when json_type(k.value) <> 'NULL' then cast(k.value as varchar) end as value, count(*) as n
+  from (select * from ops where json_type(variables) = 'OBJECT') o, json_each(o.variables) k group by all)) group by name, type, variable""", _OPS),
+    "schema_validate_struct": sql(f"""select cast(count(*) filter (s = 'matching') as bigint) as matching, cast(count(*) filter (s = 'failed') as bigint) as failed, cast(count(*) filter (s = 'skipped') as bigint) as skipped, count(*) filter (s = 'failed') = 0 and count(*) filter (s = 'matching') > 0 as all_match
+from (select case when coalesce(resp_text, '') = '' or not {_JSON} then 'skipped'
+when resp_text is not null and json_valid(resp_text) and json_type(resp_text) = 'OBJECT' and json_type(resp_text, '$.id') = 'VARCHAR' and coalesce(json_type(resp_text, '$.unit_count'), 'NULL') in ('NULL', 'UBIGINT', 'BIGINT', 'DOUBLE') then 'matching' else 'failed' end as s from m)"""),
+    "html_tag_counts": sql(f"""select cluster_id, tag, cast(sum(n) as bigint) as n, count(distinct entry_id) as n_pages from (
+  select substr(sha256(concat(host, chr(0), method, chr(0), path_template)), 1, 12) as cluster_id, entry_id, unnest(regexp_extract_all(lower(resp_text), '<([a-z][a-z0-9]*)[^>]*>', 1)) as tag, 1 as n from m where {_PAGE} and resp_text is not null) group by all"""),
+    "json_field_types": sql(f"""select n.cluster_id, replace(replace(n.path, chr(30), '[]'), chr(31), '.') as path, array_to_string(list_sort(list(distinct n.type)), '|') as type, round(count(*) / any_value(p.n), 6) as frequency, count(*) = any_value(p.n) and count(*) filter (n.type = 'null') = 0 as required, count(*) filter (n.type = 'null') > 0 as nullable
+from typed n join single p on p.cluster_id = n.cluster_id and p.path = n.parent and p.type = 'object'
+where not n.item and n.path <> '' and not exists (select 1 from mixed x where x.cluster_id = n.cluster_id and (x.path = '' or starts_with(n.path, x.path || chr(31)) or starts_with(n.path, x.path || chr(30)))) group by n.cluster_id, n.path""",
+f""", b as (select substr(sha256(concat(host, chr(0), method, chr(0), path_template)), 1, 12) as cluster_id, json(resp_text) as j from m where {_VALID}), nodes as (
+  select cluster_id, '' as path, '' as parent, false as item, j as v from b
+  union all
+  select n.cluster_id, case when json_type(n.v) = 'ARRAY' then n.path || chr(30) when n.path = '' then e.key else n.path || chr(31) || e.key end, n.path, json_type(n.v) = 'ARRAY', e.value
+  from nodes n, json_each(n.v) e where json_type(n.v) = 'OBJECT' or (json_type(n.v) = 'ARRAY' and n.path <> '')
+), typed as (
+  select *, case json_type(v) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then 'null' when 'DOUBLE' then case when cast(v as double) = floor(cast(v as double)) then 'integer' else 'number' end else 'integer' end as type from nodes
+), single as (
+  select cluster_id, path, any_value(type) as type, count(*) as n from typed group by cluster_id, path having count(distinct type) = 1
+), mixed as (
+  select cluster_id, path from typed group by cluster_id, path having count(distinct type) > 1
+)""").replace("with latest","with recursive latest",1),
     "schema_validate": sql(f"""select entry_id, case when coalesce(resp_text, '') = '' or not {_JSON} then 'skipped'
 when json_valid(resp_text) and json_type(resp_text) = 'OBJECT' and json_type(resp_text, '$.id') = 'VARCHAR' and coalesce(json_type(resp_text, '$.currency'), 'VARCHAR') = 'VARCHAR' then 'matching' else 'failed' end as status from m"""),
     "graphql_operations": sql("select entry_id, batch_index, name, type, is_batched, has_variables, has_errors from ops", _OPS),

@@ -172,7 +172,35 @@ _OBJECTS = rf"""with recursive texts as (
 )
 select distinct source, record_id, ptr as node_path, owner as parent_path from nodes where json_type(v) = 'OBJECT' and ptr <> ''"""
 
+_GROUPS = (
+    r"""with recursive texts as (
+  select 'body' as source, entry_id as record_id, try(decode(from_base64(response.body))) as t from (
+    select * from entries where entry_id is not null qualify row_number() over (partition by entry_id order by ingested_at desc) = 1)
+  union select 'variables', op_id, variables from graphql_operations where op_id is not null
+  union select 'extensions', connection_id, extensions from tls_client_hellos where connection_id is not null
+), nodes as (
+  select source, record_id, md5(t) as doc, '' as ptr, '' as owner, '' as grp, '' as owner_grp, '' as name, false as item, """
+    + _UNFOLD.format("json(t)")
+    + r""" as v from (select * from texts where t is not null and json_valid(t))
+  union all
+  select source, record_id, doc, ptr || '/' || token, case when parent = 'OBJECT' then ptr else owner end, case when parent = 'OBJECT' then grp || '/' || token else grp || '/*' end, case when parent = 'OBJECT' then grp else owner_grp end, key, parent = 'ARRAY', """
+    + _UNFOLD.format("child")
+    + r"""
+  from (select n.*, json_type(n.v) as parent, e.key, replace(replace(e.key, '~', '~0'), '/', '~1') as token, e.value as child from nodes n, json_each(n.v) e where json_type(n.v) in ('OBJECT', 'ARRAY'))
+), kinds as (
+  select * exclude (v), case json_type(v) when 'VARCHAR' then 'string' when 'NULL' then 'null' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end as kind,
+    case when json_type(v) not in ('OBJECT', 'ARRAY') then cast(v as varchar) end as value from nodes
+), members as (
+  select source, record_id, doc, owner as ptr, list(concat(name, ':', kind, ':', value) order by name) as held from kinds where not item and kind <> 'object' and ptr <> '' group by all
+), groups as (
+  select distinct k.source, k.record_id, k.grp, k.owner_grp, k.ptr, k.kind, case when k.kind = 'object' then coalesce(m.held, []) else [concat('*:', k.kind, ':', k.value)] end as held
+  from kinds k left join members m on k.kind = 'object' and m.source = k.source and m.record_id = k.record_id and m.doc = k.doc and m.ptr = k.ptr where k.kind = 'object' or (k.item and k.kind <> 'object')
+)
+select source, grp as group_path, owner_grp as parent_group, count(*) as n_rows, coalesce(array_to_string(list_sort(list_distinct(flatten(list(list_transform(held, lambda x: regexp_extract(x, '(?s)^(.*?:(?:string|number|boolean|null|array))(?::.*)?$', 1)))))), ','), '') as members from groups group by all"""
+)
+
 ORACLES: dict[str, str] = {
+    "p5_group_tables": _GROUPS,
     "p1_found": _CHANGES,
     "p1_cluster_schemas": _SCHEMAS,
     "p3_found": _PACKED,
