@@ -292,7 +292,46 @@ from found, (select min(ts_ms) as lo, max(ts_ms) as hi from found)){tail}""",
     )
 
 
+_TYPE = "trim(lower(string_split(coalesce(list_filter({p}, lambda h: h.name = 'content-type')[1].value, ''), ';')[1]))"
+_BODY_PARTS = rf""", sides as (
+  select entry_id, {_TYPE.format(p='request_pairs')} as kind, req_text as t from m where req_text <> '' union all select entry_id, {_TYPE.format(p='response_pairs')}, resp_text from m where resp_text <> ''
+), told as (
+  select entry_id, {_classify('kind')} as category, t from sides
+), nodes as (
+  select entry_id, null::varchar as key, json(t) as v from (select * from told where category = 'json' and json_valid(t))
+  union all
+  select n.entry_id, case when json_type(n.v) = 'OBJECT' then e.key end, e.value from nodes n, json_each(n.v) e where json_type(n.v) in ('OBJECT', 'ARRAY')
+), parts as (
+  select entry_id, key as part from nodes where key is not null
+  union all select entry_id, v->>'$' from nodes where json_type(v) = 'VARCHAR'
+  union all select entry_id, t from told where (category = 'json' and not json_valid(t)) or category in ('text', 'csv')
+  union all select entry_id, regexp_replace(t, '<[^>]*>', ' ', 'g') from told where category in ('html', 'xml')
+  union all select entry_id, url_decode(replace(t, '+', ' ')) from told where category = 'form'
+), body_tokens as (
+  select distinct entry_id, token from (select entry_id, unnest(regexp_split_to_array(lower(part), '[/?&=.\-_:;,@\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+')) as token from parts) where strlen(token) >= 2
+)"""
+
+
+def _recursive(text: str) -> str:
+    return text.replace("with latest", "with recursive latest", 1)
+
+
+# breadth-first from the seed; within a depth by time, then id
+_PRUNED = _EDGE_KEYS.format(nodes=_related(120_000, True)) + f""", steps as (
+  select from_id as a, to_id as b from edges union select to_id, from_id from edges
+), reached as (
+  select '{SEED}' as entry_id, 0 as depth union select b, depth + 1 from reached join steps on a = entry_id where depth < 5
+), depths as (
+  select entry_id, min(depth) as depth from reached group by entry_id
+)"""
+
 ORACLES: dict[str, str] = {
+    "body_token_counts": _recursive(sql("select token, count(*) as n_entries from body_tokens group by token", _BODY_PARTS)),
+    "search_body_index": _recursive(sql("""select entry_id, round(cast(u as integer) * 0.4 + cast(h as integer) * 0.3 + cast(b as integer) * 0.2 + (ts_ms - lo) / case when hi = lo then 1 else hi - lo end * 0.3 + 0.1, 6) as score,
+concat_ws(',', case when u then 'url' end, case when h then 'header' end, case when b then 'body' end) as matched_in from found, (select min(ts_ms) as lo, max(ts_ms) as hi from found)""",
+        _BODY_PARTS + _SEARCH_BASE + """, found as (select * from (
+  select entry_id, ts_ms, list_contains(ut, 'mauve') as u, list_contains(ht, 'mauve') as h, entry_id in (select entry_id from body_tokens where token = 'mauve') as b from tokened) where u or h or b)""")),
+    "flow_pruned_nodes": _recursive(sql("select entry_id, ts_ms, host from depths join nodes using (entry_id) order by depth, ts_ms, entry_id limit 5", _PRUNED)),
     "sessions_list": "select session_id, coalesce(name, '') as name, cast(coalesce(len(entry_ids), 0) as integer) as entry_count from sessions",
     "session_entries": sql("select l.session_id, cast(l.pos as integer) as pos, l.entry_id, m.url, m.status from (select session_id, unnest(entry_ids) as entry_id, generate_subscripts(entry_ids, 1) - 1 as pos from sessions) l join m on m.entry_id = l.entry_id"),
     "entries_meta": sql(f"select {_SUMMARY} from m"),
