@@ -42,17 +42,17 @@ def ship_package(spark: SparkSession) -> None:
 def spread(scan: DataFrame) -> DataFrame:
     """``scan`` in as many partitions as there are cores, where it is small.
 
-    Meant for reads of tables, before Python work: a table of few row groups
-    would keep most cores idle. The decision is the optimizer's estimate of
-    the scan's size, so nothing is run while a query is built. A scan that has
-    a full split per core already passes unchanged, and results of a shuffle
-    are never dealt out again.
+    Meant for reads of tables, before Python work: a table of few files would
+    keep most cores idle. The decision is the optimizer's estimate of the
+    scan's size and the number of its files, so nothing is run while a query
+    is built. A scan that has a file or a full split per core already passes
+    unchanged, and results of a shuffle are never dealt out again.
     """
     spark = scan.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return scan.repartition(cores) if size < cores * split else scan
+    return scan.repartition(cores) if size < cores * split and len(scan.inputFiles()) < cores else scan
 
 
 def shared_folder(spark: SparkSession) -> str:
